@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfwise.plans import core  # noqa: F401
+from shelfwise.plans import core, metric_queries  # noqa: F401
 from shelfwise.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]

@@ -150,21 +150,21 @@ def distinct_notes(r: Retail) -> DataFrame:
 
 @query("nearest_surplus", SHORTFALL, "SELECT * FROM shortfalls")
 def nearest_surplus(r: Retail) -> DataFrame:
-    return rec.knn_surplus(r.spine, 1)
+    return rec.knn_surplus(r.flagged, 1)
 
 
 @query("knn_surplus", SHORTFALL + " nth:i", """
 SELECT * EXCLUDE (nth), CASE WHEN nearest_surplus_store_id IS NOT NULL THEN nth END AS nth
 FROM surplus_ranked WHERE nth <= 3""")
 def knn_surplus(r: Retail) -> DataFrame:
-    return rec.knn_surplus(r.spine, 3)
+    return rec.knn_surplus(r.flagged, 3)
 
 
 @query("rank_nearest", "store_id:i product_id:i nearest_surplus_store_id:i nth:i", """
 SELECT * EXCLUDE (nth), CASE WHEN nearest_surplus_store_id IS NOT NULL THEN nth END AS nth
 FROM surplus_ranked WHERE nth <= 5""")
 def rank_nearest(r: Retail) -> DataFrame:
-    return rec.knn_surplus(r.spine, 5)
+    return rec.knn_surplus(r.flagged, 5)
 
 
 @query("open_shortfalls", SHORTFALL, "SELECT * FROM shortfalls")
@@ -174,14 +174,14 @@ def open_shortfalls(r: Retail) -> DataFrame:
 
 @query("available_products", "product_id:i any_on_hand:i", "SELECT * FROM available_products")
 def available_products(r: Retail) -> DataFrame:
-    return rec.available_products(r.position)
+    return r.available
 
 
 @query("substitute_candidates", "product_id:i subcategory:s price_usd:2", """
 SELECT p.product_id, subcategory, price_usd FROM raw_products p
 JOIN available_products a ON a.product_id = p.product_id WHERE seasonality = 'cold_weather'""")
 def substitute_candidates(r: Retail) -> DataFrame:
-    return rec.substitute_candidates(r.products, rec.available_products(r.position))
+    return rec.substitute_candidates(r.products, r.available)
 
 
 @query("rank_substitute", "product_id:i subcategory:s price_usd:2 substitute_product_id:i price_gap:2", """
@@ -195,14 +195,14 @@ SELECT product_id, subcategory, price_usd, substitute_product_id, price_gap FROM
 ) AS ranked_products WHERE rn = 1""")
 def rank_substitute(r: Retail) -> DataFrame:
     wanted = r.products.select("product_id", "subcategory", "price_usd")
-    candidates = rec.substitute_candidates(r.products, rec.available_products(r.position))
+    candidates = rec.substitute_candidates(r.products, r.available)
     return rec.closest_substitutes(wanted, candidates)
 
 
 @query("substitute_pick", "store_id:i product_id:i substitute_product_id:i price_gap:2", "SELECT * FROM substitutes")
 def substitute_pick(r: Retail) -> DataFrame:
-    short = rec.shortfalls(r.spine)
-    return rec.substitute_pick(short, r.products, rec.available_products(r.spine))
+    short = rec.shortfalls(r.flagged)
+    return rec.substitute_pick(short, r.products, r.available)
 
 
 @query(

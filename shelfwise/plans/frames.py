@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfwise.operators import position as pos
 from shelfwise.operators import recovery as rec
@@ -68,31 +69,38 @@ class Retail:
 
     @cached_property
     def position(self) -> DataFrame:
-        """The spine, computed where it is used. For plans that read it once."""
-        return pos.store_sku_position(self.silver_inventory, self.silver_sales)
+        """The spine, computed where it is used. For plans that read it once. Snapshots and sales
+        end on the same day, so one cheap subquery over the raw dates serves as both anchors."""
+        return pos.store_sku_position(
+            self.silver_inventory, self.silver_sales, as_of=self.newest, sales_as_of=self.newest
+        )
+
+    @cached_property
+    def flagged(self) -> DataFrame:
+        """The positions that need attention (all but healthy), written once. The recovery chain
+        reads them several times: as shortfalls, as surplus and as acted positions."""
+        return stage(self.position.where(F.col("position_status") != "healthy"), "flagged")
 
     @cached_property
-    def spine(self) -> DataFrame:
-        """The spine as a written table. For plans that read it more than once."""
-        return stage(self.position, "position")
+    def available(self) -> DataFrame:
+        """Products in stock. Needs the snapshot only: no sales join remains in its plan."""
+        return rec.available_products(self.position)
 
     @cached_property
     def shortfalls(self) -> DataFrame:
-        return rec.open_shortfalls(self.spine)
+        return rec.open_shortfalls(self.flagged)
 
     @cached_property
     def recommended(self) -> DataFrame:
-        return rec.recommend(self.shortfalls, self.products, rec.available_products(self.spine))
+        return rec.recommend(self.shortfalls, self.products, self.available)
 
     @cached_property
     def recommendations(self) -> DataFrame:
-        return rec.recovery_recommendations(
-            self.shortfalls, self.products, rec.available_products(self.spine)
-        )
+        return rec.recovery_recommendations(self.shortfalls, self.products, self.available)
 
     @cached_property
     def actions(self) -> DataFrame:
-        return fx.actions(self.spine, self.newest)
+        return fx.actions(self.flagged, self.newest)
 
     @cached_property
     def gateway_log(self) -> DataFrame:

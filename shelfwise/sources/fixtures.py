@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shelfwise.sources.tables import broadcast_within
 
@@ -13,6 +14,7 @@ TABLES = (
 ).split()
 
 _row_counts: dict[str, int] = {}
+_schemas: dict[str, StructType] = {}
 
 
 def table_path(sf_dir: str, name: str) -> str:
@@ -20,7 +22,11 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+    """The table. Its schema is read from the file once per process."""
+    path = table_path(sf_dir, name)
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def rows(spark: SparkSession, sf_dir: str, name: str) -> int:
