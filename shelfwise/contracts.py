@@ -34,6 +34,7 @@ def _column(name: str, kind: str) -> Column:
 
 
 def _sql(name: str, kind: str) -> str:
+    name = f'"{name}"'
     if kind == "i":
         out = f"CAST({name} AS BIGINT)"
     elif kind == "s":

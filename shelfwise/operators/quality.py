@@ -118,7 +118,7 @@ def risk_separates(position: DataFrame) -> DataFrame:
 def note_dedup(inventory: DataFrame, flags: DataFrame) -> DataFrame:
     counts = inventory.agg(
         F.count(F.lit(1)).alias("rows"), F.countDistinct("merch_note_text").alias("notes")
-    ).join(F.broadcast(flags.agg(F.count(F.lit(1)).alias("flags"))))
+    ).withColumn("flags", flags.agg(F.count(F.lit(1))).scalar())
     return _rows(
         counts,
         {
@@ -181,11 +181,13 @@ def metric_parity(position: DataFrame, keep: Column) -> DataFrame:
     """The metric layer and a direct sum agree on a slice."""
     layer = measure(position, [], ["lost_sales_exposure", "markdown_exposure"], keep)
     direct = position.agg(
-        F.sum(F.when(keep, F.col("lost_sales_exposure_usd"))).alias("lost"),
-        F.sum(F.when(keep, F.col("markdown_exposure_usd"))).alias("markdown"),
-    )
+        F.struct(
+            F.sum(F.when(keep, F.col("lost_sales_exposure_usd"))).alias("lost"),
+            F.sum(F.when(keep, F.col("markdown_exposure_usd"))).alias("markdown"),
+        )
+    ).scalar()
     return _rows(
-        layer.join(F.broadcast(direct)),
+        layer.withColumn("direct", direct).select("*", "direct.*"),
         {
             "lost_sales_parity": (
                 F.round("lost_sales_exposure", 2), F.col("lost_sales_exposure").eqNullSafe(F.col("lost")),
@@ -202,10 +204,10 @@ def move_mix(recommendations: DataFrame, position: DataFrame) -> DataFrame:
         F.countDistinct("recommended_move").alias("kinds"),
         F.sum("predicted_recaptured_usd").alias("recaptured"),
     )
-    lost = position.where(is_open()).agg(F.sum("lost_sales_exposure_usd").cast("double").alias("lost"))
+    lost = position.where(is_open()).agg(F.sum("lost_sales_exposure_usd").cast("double")).scalar()
     ratio = F.col("recaptured") / F.nullif(F.col("lost"), F.lit(0.0))
     return _rows(
-        moves.join(F.broadcast(lost)),
+        moves.withColumn("lost", lost),
         {
             "several_moves": (F.col("kinds"), F.col("kinds") > 1),
             "recaptured_within_exposure": (F.round(ratio, 4), ratio <= 1.0),

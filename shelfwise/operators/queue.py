@@ -266,17 +266,14 @@ def view_score(position: DataFrame, k: int = 5) -> DataFrame:
     open_rows = position.where(is_open())
     worst = open_rows.orderBy(F.desc_nulls_last("lost_sales_exposure_usd"), *KEY).limit(k)
     top = worst.agg(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["row"]).alias("top"))
-    total = open_rows.agg(F.count(F.lit(1)).alias("open_shortfall_count"))
-    # both sides are one aggregate row
-    return (
-        total.join(F.broadcast(top))
-        .withColumns(
-            {
-                "store_id": F.get(F.col("top.store_id"), F.lit(0)),
-                "product_id": F.get(F.col("top.product_id"), F.lit(0)),
-                "payload": F.to_json(F.struct("open_shortfall_count", F.col("top").alias("top_shortfalls"))),
-            }
-        )
+    total = open_rows.agg(F.count(F.lit(1))).scalar()
+    payload = F.struct("open_shortfall_count", F.col("top").alias("top_shortfalls"))
+    return top.withColumn("open_shortfall_count", total).withColumns(
+        {
+            "store_id": F.get(F.col("top.store_id"), F.lit(0)),
+            "product_id": F.get(F.col("top.product_id"), F.lit(0)),
+            "payload": F.to_json(payload),
+        }
     )
 
 

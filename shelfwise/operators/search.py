@@ -98,20 +98,21 @@ def text_stats(docs: DataFrame, terms: list[str], extra: list[str] | None = None
 
 
 def bm25(stats: DataFrame, terms: list[str]) -> DataFrame:
-    """BM25 of every document (0 without a match) from its text_stats. The corpus numbers are one
-    row, taken from the same narrow table."""
+    """BM25 of every document (0 without a match) from its text_stats. The corpus numbers are a
+    scalar subquery over the same narrow table."""
+    found = [F.sum((F.get("counts", F.lit(i)) > 0).cast("double")) for i in range(len(terms))]
     corpus = stats.agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.avg("length").alias("_avg"),
-        F.array(*[F.sum((F.get("counts", F.lit(i)) > 0).cast("double")) for i in range(len(terms))]).alias("_df"),
-    )
+        F.struct(
+            F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg"), F.array(*found).alias("df")
+        ).alias("corpus")
+    ).scalar()
     score = F.lit(0.0)
-    norm = F.lit(BM25_K1) * (F.lit(1 - BM25_B) + F.lit(BM25_B) * F.col("length") / F.col("_avg"))
+    norm = F.lit(BM25_K1) * (F.lit(1 - BM25_B) + F.lit(BM25_B) * F.col("length") / F.col("_c.avg"))
     for i in range(len(terms)):
-        tf, df = F.get("counts", F.lit(i)), F.get("_df", F.lit(i))
-        idf = F.log(F.lit(1.0) + (F.col("_n") - df + F.lit(0.5)) / (df + F.lit(0.5)))
+        tf, df = F.get("counts", F.lit(i)), F.get("_c.df", F.lit(i))
+        idf = F.log(F.lit(1.0) + (F.col("_c.n") - df + F.lit(0.5)) / (df + F.lit(0.5)))
         score = score + idf * tf * F.lit(BM25_K1 + 1) / (tf + norm)
-    return stats.join(F.broadcast(corpus)).withColumn("bm25", score).drop("_n", "_avg", "_df")
+    return stats.withColumn("_c", corpus).withColumn("bm25", score).drop("_c")
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -123,28 +124,28 @@ def cosine(a: Column, b: Column) -> Column:
     return _dot(a, b) / F.sqrt(_dot(a, a) * _dot(b, b))
 
 
-def cosine_topk(vectors: DataFrame, wanted: Column, k: int, key: str = "doc_id") -> DataFrame:
-    """The k stored vectors closest to the wanted one; rows without a vector drop out."""
+def with_similarity(vectors: DataFrame, wanted: Column) -> DataFrame:
+    """Similarity of every stored vector to the wanted one; rows without a vector drop out."""
     return (
         vectors.where(F.col("embedding").isNotNull())
-        .withColumn("similarity", cosine(F.col("embedding"), wanted))
-        .orderBy(F.desc("similarity"), key)
-        .limit(k)
+        .withColumn("_wanted", wanted)
+        .withColumn("similarity", cosine(F.col("embedding"), F.col("_wanted")))
+        .drop("_wanted")
     )
 
 
+def cosine_topk(vectors: DataFrame, wanted: Column, k: int, key: str = "doc_id") -> DataFrame:
+    """The k stored vectors closest to the wanted one, by exact scan."""
+    return with_similarity(vectors, wanted).orderBy(F.desc("similarity"), key).limit(k)
+
+
 def hybrid_search(scored: DataFrame, wanted: Column, limit: int = 8) -> DataFrame:
     """Blend of BM25, relative to its maximum over all documents, and cosine similarity, for the
     documents that have a vector. ``scored`` has doc_id, bm25, embedding."""
-    best = scored.agg(F.max("bm25").alias("_best"))
-    similarity = cosine(F.col("embedding"), wanted)
-    blend = TEXT_WEIGHT * (F.col("bm25") / F.nullif(F.col("_best"), F.lit(0.0))) + VECTOR_WEIGHT * F.col(
-        "similarity"
-    )
+    best = F.nullif(scored.agg(F.max("bm25")).scalar(), F.lit(0.0))
+    blend = TEXT_WEIGHT * (F.col("bm25") / best) + VECTOR_WEIGHT * F.col("similarity")
     return (
-        scored.where(F.col("embedding").isNotNull())
-        .join(F.broadcast(best))
-        .withColumn("similarity", similarity)
+        with_similarity(scored, wanted)
         .withColumn("hybrid_score", F.round(blend, 4))
         .where(F.col("hybrid_score") > HYBRID_CUT)
         .orderBy(F.desc("hybrid_score"), "doc_id")

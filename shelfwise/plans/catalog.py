@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from shelfwise.plans import core, metric_queries  # noqa: F401
+from shelfwise.plans import (  # noqa: F401
+    action_queries,
+    core,
+    history_queries,
+    metric_queries,
+    stream_queries,
+    text_queries,
+)
 from shelfwise.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]

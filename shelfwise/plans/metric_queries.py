@@ -310,10 +310,12 @@ def worst_key(r: Retail, column: str) -> Column:
 @query("zero_on_hand_sku",
        "store_id:i product_id:i region:s on_hand_units:i lost_sales_exposure_usd:2 nearest_surplus_store_id:i "
        "nearest_surplus_on_hand:i nearest_surplus_distance_km:1",
-       f"""SELECT * FROM shortfalls WHERE on_hand_units = 0 AND product_id = {WORST_KEY.format('product_id')}
+       f"""SELECT * FROM shortfalls WHERE on_hand_units = 0
+  AND product_id = (SELECT product_id FROM shortfalls WHERE on_hand_units = 0 {WORST} LIMIT 1)
 ORDER BY lost_sales_exposure_usd DESC NULLS LAST, store_id LIMIT 10""")
 def zero_on_hand_sku(r: Retail) -> DataFrame:
-    return queue.zero_on_hand(r.shortfalls, worst_key(r, "product_id"))
+    sold_out = r.flagged.where(F.col("position_status") == "stockout")
+    return queue.zero_on_hand(r.shortfalls, queue.worst_one(sold_out).select("product_id").scalar())
 
 
 @query("position_lookup", QUEUE_SPEC,
