@@ -11,11 +11,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def number_rows(df: DataFrame, keys: list[str], bucket: str, order: list, name: str) -> DataFrame:
-    """Row numbers from 1 per key, equal to row_number over (keys, order)."""
+def number_rows(
+    df: DataFrame, keys: list[str], bucket: str, order: list, name: str, start: DataFrame | None = None
+) -> DataFrame:
+    """Row numbers per key, from 1 as row_number over (keys, order) gives them, or going on from
+    the ``start`` of a key (columns: keys, start)."""
     sizes = df.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
+    if start is not None:
+        # joined to the few bucket rows, not to the rows themselves
+        offsets = (
+            offsets.join(start, keys, "left")
+            .withColumn("_before", F.col("_before") + F.coalesce("start", F.lit(0)))
+            .drop("start")
+        )
     local = F.row_number().over(Window.partitionBy(*keys, bucket).orderBy(*order))
     return (
         df.withColumn(name, local)

@@ -26,16 +26,10 @@ def conversation_list(heads: DataFrame, user: Column | None = None) -> DataFrame
 def append_positions(existing: DataFrame, new: DataFrame, order: str) -> DataFrame:
     """Positions for new messages: each conversation goes on after its highest position, from 0
     when it is new. ``order`` is a whole number that orders the new messages."""
-    last = existing.groupBy("conversation_id").agg(F.max("position").alias("_last"))
-    numbered = number_rows(
-        new.withColumn("_page", F.floor(F.col(order) / PAGE)), ["conversation_id"], "_page", [order], "_n"
-    )
-    start = F.coalesce("_last", F.lit(-1))
-    return (
-        numbered.join(last, "conversation_id", "left")
-        .withColumn("position", (start + F.col("_n")).cast("bigint"))
-        .drop("_last", "_n", "_page")
-    )
+    last = existing.groupBy("conversation_id").agg((F.max("position") + 1).alias("start"))
+    paged = new.withColumn("_page", F.floor(F.col(order) / PAGE))
+    numbered = number_rows(paged, ["conversation_id"], "_page", [order], "position", last)
+    return numbered.withColumn("position", (F.col("position") - 1).cast("bigint")).drop("_page")
 
 
 def with_messages(heads: DataFrame, messages: DataFrame, page: int = PAGE) -> DataFrame:

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators import history, learned
 from shelfwise.operators import position as pos
-from shelfwise.plans.action_queries import OPEN, at
+from shelfwise.plans.action_queries import OPEN, WORST, at
 from shelfwise.plans.frames import Retail
 from shelfwise.plans.registry import query
 from shelfwise.sources import fixtures as fx
-from shelfwise.sources.scratch import scratch_dir
+from shelfwise.sources.scratch import scratch_dir, stage
 from shelfwise.streaming import calls, changes, refresh, runner
 
 
@@ -81,14 +81,23 @@ def stream_shortfall_refresh(r: Retail) -> DataFrame:
     return refresh.refreshed_position(snapshot, log).where(pos.is_open())
 
 
-@query("stream_view_scored", "source:s store_id:i product_id:i open_shortfall_count:i created_at:t")
+def _scored(back: int) -> str:
+    """The expected event of the snapshot ``back`` days before the newest."""
+    rows = f"FROM positions_{back}_back WHERE {OPEN}"
+    return f"""SELECT * FROM (SELECT snapshot_date AS scored_date, store_id, product_id,
+  (SELECT COUNT(*) {rows}) AS open_shortfall_count {rows} {WORST} LIMIT 1) AS worst_{back}"""
+
+
+@query("stream_view_scored", "scored_date:d store_id:i product_id:i open_shortfall_count:i",
+       " UNION ALL ".join(_scored(back) for back in range(3)))
 def stream_view_scored(r: Retail) -> DataFrame:
-    """One event per arrived snapshot."""
-    feed = landed(r, r.silver_inventory, "snapshots", "snapshot_date", 3)
+    """One event per arrived snapshot date."""
+    feed = landed(r, r.inventory.select("snapshot_date").distinct(), "snapshots", "snapshot_date", 3)
     recent = pos.recent_sales(r.silver_sales, as_of=r.newest)
 
     def work(batch: DataFrame, batch_id: int, folder: str) -> None:
-        refresh.score_batch(batch, recent, batch_id, at()).write.mode("overwrite").parquet(folder)
+        events = refresh.score_live_view(r.silver_inventory, recent, batch, batch_id, at())
+        events.write.mode("overwrite").parquet(folder)
 
     path = runner.each_batch(feed, "view-scored", work, "append")
     count = F.get_json_object("payload", "$.open_shortfall_count")
@@ -99,5 +108,6 @@ def stream_view_scored(r: Retail) -> DataFrame:
        "store_id:i product_id:i move_type:s predicted_recaptured_usd:2 predicted_net_value_usd:2 move_rank:i")
 def recovery_model(r: Retail) -> DataFrame:
     moves = history.move_features(r.silver_transfers, fx.stock_history(r.sales), r.sales)
-    model = learned.train(learned.training_rows(moves))
+    # every training pass reads the written rows, not the joins and windows behind them
+    model = learned.train(stage(learned.training_rows(moves), "training-rows"))
     return learned.score(model, learned.candidates(r.recommended, r.products))

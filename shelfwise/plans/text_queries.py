@@ -104,8 +104,8 @@ def wanted_vector(r: Retail) -> Column:
 @query("cosine_topk", "doc_id:i similarity:5",
        f"SELECT vec_id AS doc_id, {COSINE} AS similarity FROM embeddings ORDER BY similarity DESC, doc_id LIMIT 8")
 def cosine_topk(r: Retail) -> DataFrame:
-    notes = fx.notes_with_vectors(r.spark, r.sf_dir).drop("text")
-    return search.cosine_topk(notes, wanted_vector(r), 8)
+    vectors = r.table("embeddings").withColumnRenamed("vec_id", "doc_id")
+    return search.cosine_topk(vectors, wanted_vector(r), 8)
 
 
 @query("hybrid_search", "doc_id:i bm25:5 similarity:5 hybrid_score:4",

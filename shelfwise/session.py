@@ -7,10 +7,12 @@ import os
 from pyspark.sql import SparkSession
 
 
-def local_session(app: str = "shelfwise", cores: int | None = None) -> SparkSession:
+def local_session(
+    app: str = "shelfwise", cores: int | None = None, shared_dir: str | None = None
+) -> SparkSession:
     """A local session. A cluster supplies its own; only the SQL settings matter there."""
     cores = cores or int(os.environ.get("BENCH_CPUS", "8"))
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
@@ -21,5 +23,7 @@ def local_session(app: str = "shelfwise", cores: int | None = None) -> SparkSess
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
+    if shared_dir:
+        builder = builder.config("spark.checkpoint.dir", shared_dir)
+    return builder.getOrCreate()

@@ -373,8 +373,3 @@ def thinking(messages: DataFrame) -> DataFrame:
     return messages.where(F.col("role") == "assistant").select(
         "conversation_id", "position", F.to_json(events).alias("thinking")
     )
-
-
-def notes_with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return read(spark, sf_dir, "documents").select("doc_id", "text").join(vectors, "doc_id", "left")

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_local_base: list[str] = []
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -17,8 +18,9 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {_SETTING} to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="shelfwise-")
-        spark.conf.set(_SETTING, base)
+        if not _local_base:
+            _local_base.append(tempfile.mkdtemp(prefix="shelfwise-"))
+        base = _local_base[0]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -27,9 +27,12 @@ def refreshed_position(snapshot: DataFrame, log: DataFrame) -> DataFrame:
     return position.with_status(position.with_exposures(position.with_metrics(joined)))
 
 
-def score_batch(snapshot: DataFrame, recent: DataFrame, batch_id: int, at: Column) -> DataFrame:
-    """The scored view of one arrived snapshot as an event."""
-    joined = position.join_recent_sales(snapshot, recent)
+def score_live_view(
+    inventory: DataFrame, recent: DataFrame, arrived: DataFrame, batch_id: int, at: Column
+) -> DataFrame:
+    """The scored view as an event, over the whole snapshot of the newest date that arrived."""
+    newest = arrived.agg(F.max("snapshot_date")).scalar()
+    joined = position.join_recent_sales(position.current_snapshot(inventory, newest), recent)
     scored = position.with_status(position.with_exposures(position.with_metrics(joined)))
     source = "system" if batch_id == 0 else "schedule"
-    return actions.view_scored_events(queue.view_score(scored), source, at)
+    return actions.view_scored_events(queue.view_score(scored), source, at).withColumn("scored_date", newest)
