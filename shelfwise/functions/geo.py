@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 EARTH_RADIUS_KM = 6371.0
 
 # Cell edges in degrees, coarse to fine. A region holds a bounded number of cells, whatever
-# the number of stores, so each probe meets few cells before it meets any point.
-CELL_DEGREES = (8.0, 1.0)
+# the number of stores, so each probe meets few cells before it meets any point. One size does
+# for regions of a country; for wider ones put a coarser size in front.
+CELL_DEGREES = (2.0,)
 
 
 def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
@@ -40,7 +41,8 @@ def nearest_points(
 
     ``probes`` carry ``on``, ``probe_key``, lat, lng (one row per probe_key); ``points`` carry
     ``on``, ``point_key``, lat, lng. Result: probe_key, the point's columns, distance_km and
-    ``nth`` (1 = nearest, ties by point_key). Probes without any point do not appear.
+    ``nth`` (1 = nearest, ties by point_key). Probes without any point do not appear. Points whose
+    ``on`` values no probe asks for are dropped first.
 
     Exact. Points are first counted per cell. With the cell centre c and radius r, every point
     of the cell lies within d(probe, c) +- r. Cells, in order of that upper bound, are summed up
@@ -49,7 +51,7 @@ def nearest_points(
     surviving cells are joined, so a group never yields all its pairs.
     """
     levels = [(f"_y{i}", f"_x{i}", size) for i, size in enumerate(cell_degrees)]
-    gridded = points
+    gridded = points.join(probes.select(*on).distinct(), on, "left_semi")
     for y, x, size in levels:
         gridded = gridded.withColumn(y, _cell("lat", size)).withColumn(x, _cell("lng", size))
 

@@ -85,52 +85,54 @@ def learned_coefficients(outcomes: DataFrame) -> DataFrame:
     )
 
 
+def _asked_days(moves: DataFrame, store: str) -> DataFrame:
+    return moves.where(F.col(store).isNotNull()).select(
+        F.col(store).alias("store_id"), "product_id", F.col("initiated_date").alias("day"), F.lit(1).alias("asked")
+    )
+
+
 def move_features(moves: DataFrame, stock: DataFrame, sales: DataFrame, days: int = 7) -> DataFrame:
     """Moves with what was known on their day: the last stock count of the source up to that day,
-    and the units sold at the destination over the days before it.
+    and the units sold per day at the destination over the ``days`` before it.
 
-    Stock, sales and asked days are first summed to one row per store, product and day, so even a
-    hot pair has at most one row per calendar day in the ordered window. Both features are read
-    off that timeline; no range join is needed. The features then join back to the moves.
+    Each feature is read off a timeline of asked days and facts, summed to one row per store,
+    product and day before the ordered window. So even a hot pair has at most one row per
+    calendar day there, and no range join is needed. The features then join back to the moves.
     """
-    asked = (
-        moves.select(F.col("from_store_id").alias("store_id"), "product_id", F.col("initiated_date").alias("day"))
-        .unionByName(
-            moves.select(F.col("to_store_id").alias("store_id"), "product_id", F.col("initiated_date").alias("day"))
-        )
-        .where(F.col("store_id").isNotNull())
+    by_day = Window.partitionBy(*KEY).orderBy("_day")
+    counts = stock.select(*KEY, F.col("snapshot_date").alias("day"), "on_hand_units")
+    known_stock = (
+        _asked_days(moves, "from_store_id")
+        .unionByName(counts, allowMissingColumns=True)
         .groupBy(*KEY, "day")
-        .agg(F.lit(True).alias("asked"))
-    )
-    counts = stock.groupBy(*KEY, F.col("snapshot_date").alias("day")).agg(
-        F.max("on_hand_units").alias("on_hand_units")
+        .agg(F.max("asked").alias("asked"), F.max("on_hand_units").alias("on_hand"))
+        .withColumn("_day", F.unix_date("day"))
+        .withColumn(
+            "from_on_hand_at_move",
+            F.last("on_hand", ignorenulls=True).over(by_day.rowsBetween(Window.unboundedPreceding, 0)),
+        )
+        .where(F.col("asked").isNotNull() & F.col("from_on_hand_at_move").isNotNull())
+        .select(
+            F.col("store_id").alias("from_store_id"), "product_id", F.col("day").alias("initiated_date"),
+            "from_on_hand_at_move",
+        )
     )
-    sold = sales.groupBy(*KEY, F.col("sale_date").alias("day")).agg(F.sum("units_sold").alias("units"))
-    timeline = (
-        asked.unionByName(counts, allowMissingColumns=True)
+    sold = sales.select(*KEY, F.col("sale_date").alias("day"), "units_sold")
+    known_sales = (
+        _asked_days(moves, "to_store_id")
         .unionByName(sold, allowMissingColumns=True)
         .groupBy(*KEY, "day")
-        .agg(F.max("asked").alias("asked"), F.max("on_hand_units").alias("on_hand"), F.max("units").alias("units"))
+        .agg(F.max("asked").alias("asked"), F.sum("units_sold").alias("units"))
         .withColumn("_day", F.unix_date("day"))
-    )
-    by_day = Window.partitionBy(*KEY).orderBy("_day")
-    known = (
-        timeline.withColumn(
-            "stock_then",
-            F.last("on_hand", ignorenulls=True).over(by_day.rowsBetween(Window.unboundedPreceding, 0)),
+        .withColumn("before", F.sum("units").over(by_day.rangeBetween(-days, -1)))
+        .where(F.col("asked").isNotNull() & F.col("before").isNotNull())
+        .select(
+            F.col("store_id").alias("to_store_id"), "product_id", F.col("day").alias("initiated_date"),
+            (F.col("before") / F.lit(float(days))).alias("to_velocity_at_move"),
         )
-        .withColumn("sold_before", F.sum("units").over(by_day.rangeBetween(-days, -1)))
-        .where(F.col("asked"))
-        .select(*KEY, "day", "stock_then", F.coalesce("sold_before", F.lit(0)).alias("sold_before"))
-    )
-    source = known.select(
-        F.col("store_id").alias("from_store_id"), "product_id", F.col("day").alias("initiated_date"),
-        F.col("stock_then").alias("from_on_hand_at_move"),
     )
-    target = known.select(
-        F.col("store_id").alias("to_store_id"), "product_id", F.col("day").alias("initiated_date"),
-        (F.col("sold_before") / F.lit(float(days))).alias("to_velocity_at_move"),
-    )
-    return moves.join(source, ["from_store_id", "product_id", "initiated_date"], "left").join(
-        target, ["to_store_id", "product_id", "initiated_date"], "left"
+    return (
+        moves.join(known_stock, ["from_store_id", "product_id", "initiated_date"], "left")
+        .join(known_sales, ["to_store_id", "product_id", "initiated_date"], "left")
+        .withColumn("to_velocity_at_move", F.coalesce("to_velocity_at_move", F.lit(0.0)))
     )

@@ -28,16 +28,16 @@ def normalize(df: DataFrame) -> DataFrame:
     return df.withColumns(changes)
 
 
-def first_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+def first_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row per key in the given order, by aggregation."""
-    values = [c for c in df.columns if c != key]
+    values = [c for c in df.columns if c not in key]
     pick = F.min_by(F.struct(*values), F.struct(*order)).alias("_row")
-    return df.groupBy(key).agg(pick).select(key, "_row.*").select(*df.columns)
+    return df.groupBy(*key).agg(pick).select(*key, "_row.*").select(*df.columns)
 
 
-def insert_absent(target: DataFrame, source: DataFrame, key: str, order: list[str]) -> DataFrame:
+def insert_absent(target: DataFrame, source: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Target plus the source rows of unseen keys; of repeated source keys the first row wins."""
-    unseen = source.join(target.select(key), key, "left_anti")
+    unseen = source.join(target.select(*key), key, "left_anti")
     return target.unionByName(first_per_key(unseen, key, order))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.operators.metrics import measure
@@ -58,10 +58,9 @@ def surplus_covers_need(economics: DataFrame) -> DataFrame:
 
 
 def _share(position: DataFrame, group: Column, ok: Column) -> DataFrame:
-    """Share of each status within a group; the group totals are few rows."""
+    """Share of each status within a group; the window runs over the few counted rows."""
     counts = position.groupBy(group.alias("grp"), "position_status").agg(F.count(F.lit(1)).alias("n"))
-    sums = counts.groupBy("grp").agg(F.sum("n").alias("total"))
-    return counts.join(sums, "grp").select(
+    return counts.withColumn("total", F.sum("n").over(Window.partitionBy("grp"))).select(
         F.concat_ws("/", "grp", "position_status").alias("check_name"),
         F.round(F.col("n") / F.col("total"), 6).alias("value"),
         ok.alias("pass"),
@@ -149,11 +148,10 @@ def outcomes_separate(outcomes: DataFrame) -> DataFrame:
 def velocity_ramp(trend: DataFrame, max_ratio: float = 3.0) -> DataFrame:
     """The newest week must not dwarf the weeks before it. Trend: week, units_sold."""
     weekly = trend.groupBy("week").agg(F.sum("units_sold").alias("units"))
-    newest = weekly.agg(F.max("week")).scalar()
     row = weekly.agg(
-        F.sum(F.when(F.col("week") == newest, F.col("units"))).cast("double").alias("last_week"),
-        F.avg(F.when(F.col("week") < newest, F.col("units"))).alias("before"),
-    )
+        F.max_by("units", "week").cast("double").alias("last_week"),
+        F.sum("units").alias("units"), F.count(F.lit(1)).alias("weeks"),
+    ).withColumn("before", (F.col("units") - F.col("last_week")) / F.nullif(F.col("weeks") - 1, F.lit(0)))
     ratio = F.col("last_week") / F.nullif(F.col("before"), F.lit(0.0))
     return _rows(row, {"no_last_week_cliff": (F.round(ratio, 4), ratio <= max_ratio)})
 

@@ -294,8 +294,16 @@ def strict_recommendations(recommendations: DataFrame) -> DataFrame:
     )
 
 
+def rank_options(options: Column) -> Column:
+    """Explode an array of move structs best net value first, with their rank; ties keep the
+    given order. The ranking happens within the array, so nothing is shuffled."""
+    keyed = F.transform(
+        options, lambda o, i: F.struct((-o["net"]).alias("minus_net"), i.alias("listed"), o.alias("option"))
+    )
+    return F.posexplode(F.array_sort(keyed)).alias("place", "ranked")
+
+
 def ranked_moves(recommended: DataFrame) -> DataFrame:
     """Long form: one row per shortfall and move, ranked by net value (ties as in MOVES)."""
-    order = Window.partitionBy(*KEY).orderBy(F.desc("net"), "listed")
-    moves = recommended.select(*KEY, F.posexplode(move_ranking()).alias("listed", "option"))
-    return moves.select(*KEY, "listed", "option.*").withColumn("move_rank", F.row_number().over(order))
+    ranked = recommended.select(*KEY, rank_options(move_ranking()))
+    return ranked.select(*KEY, "ranked.option.*", (F.col("place") + 1).alias("move_rank"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.operators.recovery import KEY, MOVES
+from shelfwise.operators.recovery import KEY, MOVES, rank_options
 
 
 def _money(value: Column) -> Column:
@@ -28,13 +28,8 @@ def what_if_units(recommended: DataFrame, units: Column, move: str = "transfer")
             (_money(F.col(f"{name}_net")) * factor).alias("net"),
         )
 
-    order = Window.partitionBy(*KEY).orderBy(F.desc("net"), "listed")
-    options = F.posexplode(F.array(*[option(m) for m in MOVES])).alias("listed", "o")
-    return (
-        recommended.select(*KEY, options)
-        .select(*KEY, "listed", "o.*")
-        .withColumn("move_rank", F.row_number().over(order))
-    )
+    ranked = recommended.select(*KEY, rank_options(F.array(*[option(m) for m in MOVES])))
+    return ranked.select(*KEY, "ranked.option.*", (F.col("place") + 1).alias("move_rank"))
 
 
 def demand_scenario(shortfalls: DataFrame, factors: list[float], limit: int | None = 10) -> DataFrame:

@@ -153,7 +153,7 @@ def decision_events(r: Retail) -> DataFrame:
   (SELECT COUNT(*) FROM positions WHERE {OPEN}) AS open_shortfall_count, TIMESTAMP '{AT}' AS created_at
 FROM positions WHERE {OPEN} {WORST} LIMIT 1""")
 def view_scored_event(r: Retail) -> DataFrame:
-    events = act.view_scored_events(queue.view_score(r.position), "schedule", at())
+    events = act.view_scored_events(queue.view_score(r.flagged), "schedule", at())
     count = F.get_json_object("payload", "$.open_shortfall_count")
     return events.withColumn("open_shortfall_count", count)
 
@@ -282,13 +282,14 @@ SELECT CONCAT(i.store_id, ':', i.product_id), i.store_id, i.product_id, i.on_han
 FROM raw_inventory i JOIN positions p ON p.store_id = i.store_id AND p.product_id = i.product_id
 WHERE p.position_status = 'healthy' AND i.snapshot_date = (SELECT MIN(snapshot_date) FROM raw_inventory)""")
 def mirror_insert_absent(r: Retail) -> DataFrame:
-    shape = ["id", "store_id", "product_id", "on_hand_units", "snapshot_date", "origin"]
     target = r.flagged.select(
-        mirror.mirror_key().alias("id"), "store_id", "product_id", "on_hand_units",
-        r.newest.alias("snapshot_date"), F.lit("kept").alias("origin"),
+        "store_id", "product_id", "on_hand_units", r.newest.alias("snapshot_date"), F.lit("kept").alias("origin")
     )
-    source = r.inventory.withColumns({"id": mirror.mirror_key(), "origin": F.lit("inserted")}).select(*shape)
-    return mirror.insert_absent(target, source, "id", ["snapshot_date"])
+    source = r.inventory.select(
+        "store_id", "product_id", "on_hand_units", "snapshot_date", F.lit("inserted").alias("origin")
+    )
+    merged = mirror.insert_absent(target, source, queue.KEY, ["snapshot_date"])
+    return merged.withColumn("id", mirror.mirror_key())
 
 
 @query("mirror_normalize",

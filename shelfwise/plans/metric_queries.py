@@ -215,7 +215,7 @@ def map_bubbles(r: Retail) -> DataFrame:
   (SELECT COUNT(*) FROM positions WHERE {OPEN}) AS open_shortfall_count
 FROM positions WHERE {OPEN} {WORST} LIMIT 5""")
 def top_n_view_score(r: Retail) -> DataFrame:
-    score = queue.view_score(r.position)
+    score = queue.view_score(r.flagged)
     return score.select("open_shortfall_count", F.posexplode("top").alias("place", "t")).select(
         "open_shortfall_count", "place", "t.*"
     )

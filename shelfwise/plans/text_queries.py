@@ -170,9 +170,10 @@ def guard_conversations(r: Retail) -> DataFrame:
     )
 
 
-_PII = " OR ".join(f"regexp_matches(text, '{p}')" for p, _ in guard.TAGS)
+_TAGS = [(p.replace("++", "+"), tag) for p, tag in guard.TAGS]
+_PII = " OR ".join(f"regexp_matches(text, '{p}')" for p, _ in _TAGS)
 _REDACTED = "text"
-for _pattern, _tag in guard.TAGS:
+for _pattern, _tag in _TAGS:
     _REDACTED = f"regexp_replace({_REDACTED}, '{_pattern}', '{_tag}', 'g')"
 
 

@@ -31,8 +31,11 @@ def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
 
 
 def snapshot(df: DataFrame, path: str, key: list[str]) -> DataFrame:
-    """Replace the target by the full source, whose key must be unique."""
-    if duplicate_keys(df, key).limit(1).count():
-        raise ValueError(f"key {key} is not unique in the source")
+    """Write the full source as a new version of the target, whose key must be unique. The key is
+    checked on the written rows, so the source is computed once; a version that fails is not
+    handed out."""
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    if duplicate_keys(back, key).limit(1).count():
+        raise ValueError(f"key {key} is not unique in the source")
+    return back

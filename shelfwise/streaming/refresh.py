@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.operators import actions, position, queue
+from shelfwise.sources.scratch import stage
 
 KEY = ["store_id", "product_id"]
 
@@ -34,5 +35,6 @@ def score_live_view(
     newest = arrived.agg(F.max("snapshot_date")).scalar()
     joined = position.join_recent_sales(position.current_snapshot(inventory, newest), recent)
     scored = position.with_status(position.with_exposures(position.with_metrics(joined)))
+    live = stage(scored.where(position.is_open()), "live-view")  # read for the top rows and the count
     source = "system" if batch_id == 0 else "schedule"
-    return actions.view_scored_events(queue.view_score(scored), source, at).withColumn("scored_date", newest)
+    return actions.view_scored_events(queue.view_score(live), source, at).withColumn("scored_date", newest)

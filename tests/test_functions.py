@@ -146,7 +146,7 @@ def test_queue_text_filter(spark):
 def test_mirror_keeps_target_and_first_source_row(spark):
     target = spark.createDataFrame([("a", 1)], "id string, v int")
     source = spark.createDataFrame([("a", 9), ("b", 3), ("b", 2)], "id string, v int")
-    got = sorted(tuple(r) for r in mirror.insert_absent(target, source, "id", ["v"]).collect())
+    got = sorted(tuple(r) for r in mirror.insert_absent(target, source, ["id"], ["v"]).collect())
     assert got == [("a", 1), ("b", 2)]
 
 
