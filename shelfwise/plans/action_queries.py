@@ -175,7 +175,7 @@ def decision_chain(r: Retail) -> DataFrame:
 # ---- scenarios and priorities
 
 
-@query("what_if_units", "store_id:i product_id:i move:s recaptured:2 cost:2 net:2 move_rank:i", """
+@query("what_if_units", "store_id:i product_id:i move:s recaptured:9 cost:9 net:9 move_rank:i", """
 SELECT *, ROW_NUMBER() OVER (PARTITION BY store_id, product_id ORDER BY net DESC, listed) AS move_rank FROM (
   SELECT o.store_id, o.product_id, o.listed, o.move, o.recaptured * f AS recaptured, o.cost * f AS cost, o.net * f AS net
   FROM (SELECT m.*, CASE WHEN m.move = 'transfer' AND s.transfer_units > 0
