@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-# Phrases of runaway reads (the last is a pattern), blocked keywords, markers.
+# Phrases of runaway reads (as patterns), blocked keywords, markers.
 ALL_DATA_PHRASES = [
     "all customers", "every account", "entire dataset", "read everything", "unfiltered", "no filter",
-    "list all customers", "all rows", "entire table", "all data", "every record", "dump the table",
-    r"select \*",
+    r"select \*", "list all customers", "all rows", "entire table", "all data", "every record",
+    "dump the table",
 ]
 BLOCKED_KEYWORDS = [
     "SELECT *", "select all rows", "all data", "entire table", "dump the table", "every record",

@@ -168,23 +168,21 @@ def position_mix_by_zone(r: Retail) -> DataFrame:
 
 @query("product_status_drill",
        "product_name:s position_status:s position_count:i total_lost_sales_usd:2 total_markdown_usd:2",
-       """SELECT product_name, position_status, COUNT(*) AS position_count,
-  SUM(lost_sales_exposure_usd) AS total_lost_sales_usd, SUM(markdown_exposure_usd) AS total_markdown_usd
-FROM positions WHERE position_status <> 'healthy' GROUP BY product_name, position_status""")
+       """SELECT product_name, position_status, COUNT(*) AS position_count, SUM(lost_sales_exposure_usd) AS total_lost_sales_usd,
+  SUM(markdown_exposure_usd) AS total_markdown_usd FROM positions WHERE position_status <> 'healthy' GROUP BY ALL""")
 def product_status_drill(r: Retail) -> DataFrame:
     return queue.product_status_drill(r.position)
 
 
-BREAKDOWN = """SELECT store_id, MAX(store_name) AS store_name, MAX(city) AS city, MAX(region) AS region,
-  MAX(climate_zone) AS climate_zone, AVG(store_lat) AS lat, AVG(store_lng) AS lng, COUNT(*) AS positions,
-  COALESCE(SUM(recent_units_7d), 0) / CAST(7 AS DOUBLE) AS recent_velocity,
-  COALESCE(SUM(lost_sales_exposure_usd), 0) AS lost_sales_exposure_usd,
-  COALESCE(SUM(markdown_exposure_usd), 0) AS markdown_exposure_usd,
-  CASE MIN(CASE position_status WHEN 'stockout' THEN 0 WHEN 'at_risk' THEN 1 WHEN 'overstock' THEN 2 ELSE 3 END)
-    WHEN 0 THEN 'stockout' WHEN 1 THEN 'at_risk' WHEN 2 THEN 'overstock' ELSE 'healthy' END AS status
-FROM positions WHERE store_lat IS NOT NULL AND store_lng IS NOT NULL
-  AND position_status IN ('stockout', 'at_risk', 'overstock')
-GROUP BY store_id ORDER BY lost_sales_exposure_usd DESC, store_id LIMIT 500"""
+BREAKDOWN = """SELECT s.*, store_lat AS lat, store_lng AS lng, positions, units / 7::DOUBLE AS recent_velocity,
+  lost_sales_exposure_usd, markdown_exposure_usd,
+  list_extract(['stockout', 'at_risk', 'overstock'], urgency) AS status
+FROM raw_stores s JOIN (
+  SELECT store_id, COUNT(*) AS positions, SUM(recent_units_7d) AS units,
+    SUM(lost_sales_exposure_usd) AS lost_sales_exposure_usd, SUM(markdown_exposure_usd) AS markdown_exposure_usd,
+    MIN(list_position(['stockout', 'at_risk', 'overstock'], position_status)) AS urgency
+  FROM positions WHERE position_status <> 'healthy' GROUP BY store_id) AS per_store USING (store_id)
+ORDER BY lost_sales_exposure_usd DESC, store_id LIMIT 500"""
 
 
 @query("store_breakdown",
@@ -290,12 +288,10 @@ def recovery_in_progress(r: Retail) -> DataFrame:
 
 @query("kpi_summary",
        "lost_sales_exposure_usd:2 markdown_exposure_usd:2 open_shortfalls:i recoveries_in_progress:i",
-       f"""SELECT
-  COALESCE(SUM(p.lost_sales_exposure_usd) FILTER (WHERE {OPEN} AND a.store_id IS NULL), 0) AS lost_sales_exposure_usd,
-  COALESCE(SUM(p.markdown_exposure_usd) FILTER (WHERE position_status = 'overstock'), 0) AS markdown_exposure_usd,
-  COUNT(*) FILTER (WHERE {OPEN} AND a.store_id IS NULL) AS open_shortfalls,
-  COUNT(*) FILTER (WHERE {OPEN} AND a.store_id IS NOT NULL) AS recoveries_in_progress
-FROM positions p LEFT JOIN acted_keys a ON a.store_id = p.store_id AND a.product_id = p.product_id""")
+       f"""SELECT IFNULL(SUM(lost_sales_exposure_usd), 0) AS lost_sales_exposure_usd, COUNT(*) AS open_shortfalls,
+  (SELECT IFNULL(SUM(markdown_exposure_usd), 0) FROM positions WHERE position_status = 'overstock') AS markdown_exposure_usd,
+  (SELECT COUNT(*) FROM positions SEMI JOIN acted_keys USING (store_id, product_id) WHERE {OPEN}) AS recoveries_in_progress
+FROM positions ANTI JOIN acted_keys USING (store_id, product_id) WHERE {OPEN}""")
 def kpi_summary(r: Retail) -> DataFrame:
     return queue.kpi_summary(r.flagged, r.actions)
 

@@ -15,13 +15,16 @@ from shelfwise.sources.scratch import stage
 
 # ---- product and note search
 
-CATALOG = """
-SELECT *, CONCAT_WS(' ', product_name, category, seasonality, CASE WHEN lower(seasonality) LIKE '%winter%'
-  OR lower(category) LIKE '%outerwear%' OR lower(product_name) LIKE '%parka%' OR lower(product_name) LIKE '%jacket%'
-  OR lower(product_name) LIKE '%fleece%' OR lower(product_name) LIKE '%hoodie%' OR lower(product_name) LIKE '%coat%'
-  THEN 'warm insulated cold-weather layer for winter warmth' ELSE 'apparel' END) AS description
-FROM (SELECT *, MAX(on_hand_units) OVER (PARTITION BY product_id) AS most_on_hand,
-    ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY store_id) AS rn FROM positions) AS per_product WHERE rn = 1"""
+_WINTER = " OR ".join(
+    f"regexp_matches(lower({col}), '{'|'.join(words)}')"
+    for col, words in (("seasonality", search.WINTER_SEASONS), ("category", search.WINTER_CATEGORIES),
+                       ("product_name", search.WINTER_NAMES))
+)
+CATALOG = f"""
+SELECT p.*, most_on_hand,
+  CONCAT_WS(' ', product_name, category, seasonality, IF({_WINTER}, '{search.WINTER_PHRASE}', 'apparel')) AS description
+FROM raw_products p JOIN (SELECT product_id, MAX(on_hand_units) AS most_on_hand FROM positions GROUP BY 1) AS stock
+USING (product_id)"""
 
 
 @query("product_catalog_dedup",
@@ -38,7 +41,7 @@ def product_search_text(r: Retail) -> DataFrame:
 def _and_match(terms: list[str], limit: str) -> str:
     hits = " + ".join(f"len([w FOR w IN words IF w = '{t}'])" for t in terms)
     every = " AND ".join(f"list_contains(words, '{t}')" for t in terms)
-    return f"""SELECT * EXCLUDE (on_hand_units), most_on_hand AS on_hand_units, CAST({hits} AS DOUBLE) / len(words) AS rank
+    return f"""SELECT *, most_on_hand AS on_hand_units, CAST({hits} AS DOUBLE) / len(words) AS rank
 FROM (SELECT *, [w FOR w IN regexp_split_to_array(lower(CONCAT_WS(' ', product_name, description)), '[^a-z]+') IF w <> ''] AS words
   FROM ({CATALOG}) AS catalog) AS worded WHERE {every} ORDER BY rank DESC, product_id {limit}"""
 
@@ -136,7 +139,7 @@ def python_classifier(r: Retail) -> DataFrame:
 
 # ---- guards and personal data
 
-ALL_DATA = """(all customers|every account|entire dataset|read everything|unfiltered|no filter|list all customers|all rows|entire table|all data|every record|dump the table|select \\*)"""
+ALL_DATA = "|".join(guard.ALL_DATA_PHRASES)
 KEYWORDS = " OR ".join(f"contains(lower(prompt), '{w.lower()}')" for w in guard.BLOCKED_KEYWORDS)
 
 
