@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfwise.operators import actions as act
 from shelfwise.operators import mirror, queue, scenario
 from shelfwise.operators import position as pos
+from shelfwise.operators import recovery as rec
 from shelfwise.plans.frames import Retail
 from shelfwise.plans.registry import query
 from shelfwise.sources import fixtures as fx
@@ -98,9 +99,9 @@ def status_transition(r: Retail) -> DataFrame:
     return act.transition(r.actions, requests)
 
 
-def approvals(r: Retail) -> DataFrame:
+def approvals(recommended: DataFrame) -> DataFrame:
     """Every recommendation approved by the manager of its store."""
-    return r.recommended.select(
+    return recommended.select(
         "store_id", "product_id", F.col("recommended_move").alias("move_type"),
         F.col("recommended_units").alias("units"),
         F.col("nearest_surplus_store_id").alias("source_store_id"),
@@ -129,7 +130,7 @@ FROM recommended WHERE {_PAIRED}"""
 
 @query("apply_approvals", ACTION_SPEC + " audit_action:s", _APPROVED)
 def apply_approvals(r: Retail) -> DataFrame:
-    rows = act.apply_approvals(approvals(r), at())
+    rows = act.apply_approvals(approvals(r.recommended), at())
     return rows.withColumn("audit_action", F.element_at("audit_trail", 1)["action"])
 
 
@@ -142,7 +143,7 @@ def apply_approvals(r: Retail) -> DataFrame:
 FROM recommended""")
 def decision_events(r: Retail) -> DataFrame:
     names = ["move_type", "units", "source_store_id", "approved_by", "markdown_hold_id"]
-    return act.decision_events(approvals(r), at()).select(
+    return act.decision_events(approvals(r.recommended), at()).select(
         "event_type", "source", "store_id", "product_id", "action_id", F.json_tuple("payload", *names).alias(*names)
     )
 
@@ -166,9 +167,9 @@ def view_scored_event(r: Retail) -> DataFrame:
   predicted_net_value_usd
 FROM recommended r JOIN positions p ON p.store_id = r.store_id AND p.product_id = r.product_id""")
 def decision_chain(r: Retail) -> DataFrame:
-    made = approvals(r)
+    made = approvals(r.recommended_table)
     return act.decision_chain(
-        act.decision_events(made, at()), act.apply_approvals(made, at()), r.flagged, r.recommended
+        act.decision_events(made, at()), act.apply_approvals(made, at()), r.flagged, r.recommended_table
     )
 
 
@@ -336,7 +337,9 @@ def optional_source(r: Retail) -> DataFrame:
 UNION ALL SELECT 'cut short', COUNT(*), 0 FROM recommended
 UNION ALL SELECT 'not an array', COUNT(*), 0 FROM gateway_log""")
 def parse_move_ranking(r: Retail) -> DataFrame:
-    ranking = r.recommendations.select(F.lit("ranking").alias("kind"), F.col("move_ranking").alias("text"))
+    ranking = r.recommended_table.select(
+        F.lit("ranking").alias("kind"), F.to_json(rec.move_ranking()).alias("text")
+    )
     cut = ranking.select(F.lit("cut short").alias("kind"), F.substring("text", 1, 20).alias("text"))
     objects = r.gateway_log.select(F.lit("not an array").alias("kind"), F.col("response").alias("text"))
     parsed = tables.parse_move_ranking(F.col("text"))

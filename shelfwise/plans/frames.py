@@ -94,6 +94,12 @@ class Retail:
     def recommended(self) -> DataFrame:
         return rec.recommend(self.shortfalls, self.products, self.available)
 
+    @cached_property
+    def recommended_table(self) -> DataFrame:
+        """The same as a written table, one row per shortfall. For plans that read it more than
+        once."""
+        return stage(self.recommended, "recommended")
+
     @cached_property
     def recommendations(self) -> DataFrame:
         return rec.recovery_recommendations(self.shortfalls, self.products, self.available)
