@@ -20,12 +20,17 @@ def velocity_trend(sales: DataFrame, keep: Column, days: int = TREND_DAYS) -> Da
 
 
 def sales_profile(sales: DataFrame) -> DataFrame:
-    return sales.agg(
-        F.count(F.lit(1)).alias("row_count"),
+    """Rows, stores, products and date range. Counting two distinct columns at once would copy
+    every row per column; one row per pair is few enough for that."""
+    pairs = sales.groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("n"), F.min("sale_date").alias("first_date"), F.max("sale_date").alias("last_date")
+    )
+    return pairs.agg(
+        F.sum("n").alias("row_count"),
         F.countDistinct("store_id").alias("stores"),
         F.countDistinct("product_id").alias("products"),
-        F.min("sale_date").alias("first_date"),
-        F.max("sale_date").alias("last_date"),
+        F.min("first_date").alias("first_date"),
+        F.max("last_date").alias("last_date"),
     )
 
 

@@ -24,8 +24,11 @@ def duck():
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
-def test_query(spark, duck, name):
+def test_query(spark, duck, name, capsys):
     df = contract.queries()[name](spark, SF)
+    df.explain()
+    plan = capsys.readouterr().out
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     sql = contract.oracle_sql().get(name)
     if sql is not None:
