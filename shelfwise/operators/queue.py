@@ -169,6 +169,10 @@ def kpi_summary(position: DataFrame, actions: DataFrame) -> DataFrame:
     )
 
 
+def located() -> Column:
+    return F.col("store_lat").isNotNull() & F.col("store_lng").isNotNull()
+
+
 def store_breakdown(position: DataFrame, keep: Column | None = None, limit: int = STORE_LIMIT) -> DataFrame:
     """One row per store for the map, with its most urgent status. Stores without coordinates
     drop out."""
@@ -178,9 +182,8 @@ def store_breakdown(position: DataFrame, keep: Column | None = None, limit: int
     for status, value in STATUS_RANK.items():
         rank = F.when(F.col("position_status") == status, value).otherwise(rank)
     names = F.array(*[F.lit(s) for s in sorted(STATUS_RANK, key=STATUS_RANK.get)])
-    located = F.col("store_lat").isNotNull() & F.col("store_lng").isNotNull()
     return (
-        position.where(located & keep)
+        position.where(located() & keep)
         .groupBy("store_id")
         .agg(
             *[F.max(c).alias(c) for c in ("store_name", "city", "region", "climate_zone")],

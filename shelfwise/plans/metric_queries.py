@@ -174,6 +174,12 @@ def product_status_drill(r: Retail) -> DataFrame:
     return queue.product_status_drill(r.position)
 
 
+@query("null_location_filter", "store_id:i product_id:i store_lat:4 store_lng:4 position_status:s",
+       "SELECT * FROM positions WHERE position_status <> 'healthy' AND store_lat + store_lng IS NOT NULL")
+def null_location_filter(r: Retail) -> DataFrame:
+    return r.position.where(queue.located() & (F.col("position_status") != "healthy"))
+
+
 BREAKDOWN = """SELECT s.*, store_lat AS lat, store_lng AS lng, positions, units / 7::DOUBLE AS recent_velocity,
   lost_sales_exposure_usd, markdown_exposure_usd,
   list_extract(['stockout', 'at_risk', 'overstock'], urgency) AS status

@@ -148,3 +148,29 @@ def test_closest_substitutes_equal_brute_force(spark):
 def test_lone_candidate_is_not_its_own_substitute(spark):
     one = spark.createDataFrame([(1, "a", Decimal("5.00"))], "product_id long, subcategory string, price_usd decimal(12,2)")
     assert rec.closest_substitutes(one, one).count() == 0
+
+
+def test_learned_model_prefers_the_near_transfer(spark):
+    from shelfwise.operators import learned
+
+    rng = random.Random(11)
+    rows = []
+    for i in range(300):
+        move = ("transfer", "expedite", "substitute")[i % 3]
+        units, price = rng.randrange(20, 100), 100.0
+        rate = {"transfer": 0.9, "expedite": 0.82, "substitute": 0.35}[move]
+        rows.append((move, 100.0 if move == "transfer" else None, units, 500, 7.0, 1, price, 42.0, "West", "West",
+                     units * price * rate))
+    moves = spark.createDataFrame(
+        rows, "move_type string, distance_km double, units_moved int, from_on_hand_at_move int, to_velocity_at_move double, "
+        "days_to_fulfill int, price_usd double, product_cost_usd double, from_region string, to_region string, "
+        "recaptured_sales_usd double")
+    model = learned.train(learned.training_rows(moves), trees=5, depth=4)
+    short = chain(spark.createDataFrame(
+        [(1, 1, Decimal("2.000000"), Decimal("100.00"), 0, 9, 500, 100.0), (2, 1, Decimal("2.000000"), Decimal("100.00"), 0, None, None, None)],
+        SHORT))
+    item = spark.createDataFrame([(1, Decimal("42.00"))], "product_id long, cost_usd decimal(12,2)")
+    got = learned.score(model, learned.candidates(short, item)).collect()
+    first = {r["store_id"]: r["move_type"] for r in got if r["move_rank"] == 1}
+    assert first == {1: "transfer", 2: "expedite"}
+    assert sum(r["store_id"] == 2 for r in got) == 2  # no source, no transfer on offer
