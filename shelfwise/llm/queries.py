@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import exact_dedup, langid, ngram_join, packing, secrets
+from shelfwise.llm import bpe, exact_dedup, langid, line_dedup, ngram_join, packing, secrets
 from shelfwise.llm.common import table
 
 QUERIES: dict = {}
@@ -62,10 +62,46 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_packing")
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary)
 
 
 @register("op10_ngram_jaccard")
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.similar_groups(table(spark, sf_dir, "documents"))
     return found.drop("text_key", "class_key")
+
+
+@register(
+    "op8_line_dedup",
+    """
+WITH docs AS (
+  SELECT doc_id, text, STRING_SPLIT(text, CHR(10)) AS parts FROM documents WHERE text <> ''),
+lines AS (
+  SELECT doc_id, text, UNNEST(parts) AS line, UNNEST(RANGE(LEN(parts))) AS pos, LEN(parts) AS n FROM docs),
+wide AS (
+  SELECT doc_id, text, pos, n, TRIM(line, ' ') AS a, LEAD(TRIM(line, ' ')) OVER w AS b, LEAD(TRIM(line, ' '), 2) OVER w AS c
+  FROM lines WINDOW w AS (PARTITION BY doc_id, text ORDER BY pos)),
+wins AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY a, b, c ORDER BY doc_id NULLS LAST, pos) AS nth
+  FROM wide WHERE pos <= GREATEST(n - 3, 0) AND CONCAT(a, b, c) <> ''),
+gone AS (
+  SELECT DISTINCT doc_id, text, pos + k AS pos FROM wins, (SELECT UNNEST(RANGE(3)) AS k) AS ks WHERE nth > 1 AND pos + k < n),
+kept AS (
+  SELECT l.doc_id, l.text, STRING_AGG(line, CHR(10) ORDER BY l.pos) FILTER (g.pos IS NULL) AS cut, COUNT(*) AS lines, COUNT(g.pos) AS removed
+  FROM lines l LEFT JOIN gone g ON l.doc_id IS NOT DISTINCT FROM g.doc_id AND l.text = g.text AND l.pos = g.pos
+  GROUP BY l.doc_id, l.text)
+SELECT d.doc_id, COALESCE(k.lines, 0) AS lines, COALESCE(k.removed, 0) AS removed_lines,
+  SHA256(CASE WHEN k.lines IS NULL THEN COALESCE(d.text, '') ELSE COALESCE(k.cut, '') END) AS text_sha256
+FROM documents d LEFT JOIN kept k ON d.doc_id IS NOT DISTINCT FROM k.doc_id AND d.text = k.text
+""",
+)
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return cut.select("doc_id", F.col("lines").cast("long"), F.col("removed_lines").cast("long"), digest.alias("text_sha256"))
+
+
+@register("op9_byte_bpe")
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = bpe.round_trip(F.col("text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).alias("r")
+    return table(spark, sf_dir, "documents").select("doc_id", made).select("doc_id", "r.*")
