@@ -12,6 +12,7 @@ by doc_id (NULL last), then start, then checksum, so a rerun packs alike.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,77 +22,70 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import blocks, worker_cache
+from shelfwise.llm.words import WordTable
 from shelfwise.sources.scratch import stage
 
 WINDOW = 2048
 CLOSING_ID = 1
 SHARD_PIECES = 50_000
-CACHED_WORDS = 500_000
+# Characters outside Latin, and the punctuation dashes and quotes, may be classed in two ways.
+UNSURE = re.compile("[^\\x00-\u024f\u2010-\u2027]")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, seq long"
 
 
-class WordIds:
-    """Token ids of whole texts, remembered per word. Words are what the vocabulary's own split
-    yields, so a word has the same ids alone as in a text. Texts that hold an added token, or
-    characters on which two Unicode versions could differ, are encoded whole."""
+class TextIds:
+    """Token ids of whole texts, remembered per word: the vocabulary splits a text into words, and a
+    word has the same ids alone. Texts that hold an added token, or characters on which two Unicode
+    versions could differ, are encoded whole."""
 
-    def __init__(self, path: str, pattern: str):
-        import regex
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = regex.compile("|".join([*map(regex.escape, added), r"[^\x00-ɏ‐-‧]"]))
-        self.split = regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > CACHED_WORDS:
-            self.known.clear()
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.words = WordTable(self._words)
+
+    def _words(self, words: list[str]) -> list[list[int]]:
+        out: list[list[int]] = []
         for first in range(0, len(words), 20_000):
-            some = words[first : first + 20_000]
-            for word, got in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(got.ids, dtype="<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit numbers."""
-        whole = [bool(self.special.search(t)) for t in texts]
-        words = [[] if w else self.split(t) for t, w in zip(texts, whole, strict=True)]
-        new = set().union(*words).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > CACHED_WORDS:  # keep none of the old, so learn all again
-                new = set().union(*words)
-            self.learn(list(new))
-        get = self.known.__getitem__
-        out = [b"".join(map(get, w)) for w in words]
+            got = self.tokenizer.encode_batch_fast(words[first : first + 20_000], add_special_tokens=False)
+            out += [x.ids for x in got]
+        return out
+
+    def _whole(self, text: str) -> bool:
+        return UNSURE.search(text) is not None or any(a in text for a in self.added)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Each text's ids."""
+        whole = [self._whole(t) for t in texts]
+        ids, starts = self.words.encode(["" if w else t for t, w in zip(texts, whole, strict=True)])
+        out = [ids[a:b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
         for k in np.flatnonzero(whole):
-            ids = self.tokenizer.encode(texts[k], add_special_tokens=False).ids
-            out[k] = np.array(ids, dtype="<u4").tobytes()
+            out[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, dtype=np.uint32)
         return out
 
 
-def _encoder(path: str, pattern: str) -> WordIds:
-    cache = worker_cache("word_ids")
+def _encoder(path: str) -> TextIds:
+    cache = worker_cache("text_ids")
     if path not in cache:
-        cache[path] = WordIds(path, pattern)
+        cache[path] = TextIds(path)
     return cache[path]
 
 
-def pieces(docs: DataFrame, vocabulary: str, pattern: str, window: int = WINDOW) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> DataFrame:
     """One row per piece of (doc_id, text). seq numbers the rows of a task."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, close, seq = _encoder(vocabulary, pattern), np.array([CLOSING_ID], "<u4").tobytes(), 0
+        encoder, seq = _encoder(vocabulary), 0
         for frame in frames:
             for part in blocks(frame, "text"):
                 rows = []
                 texts = [t if isinstance(t, str) else "" for t in part["text"]]
-                for doc_id, raw in zip(part["doc_id"], encoder.encode(texts), strict=True):
-                    raw += close
-                    total = len(raw) // 4
-                    for start in range(0, total, window):
-                        own = raw[start * 4 : (start + window) * 4]
-                        rows.append((doc_id, start, len(own) // 4, zlib.crc32(own), total, seq))
+                for doc_id, ids in zip(part["doc_id"], encoder.encode(texts), strict=True):
+                    ids = np.append(ids, np.uint32(CLOSING_ID)).astype("<u4")
+                    for start in range(0, len(ids), window):
+                        own = ids[start : start + window]
+                        rows.append((doc_id, start, len(own), zlib.crc32(own.tobytes()), len(ids), seq))
                         seq += 1
                 yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "seq"])
 
@@ -184,6 +178,6 @@ def pack(made: DataFrame, window: int = WINDOW, shard_pieces: int = SHARD_PIECES
     return packed.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, window: int = WINDOW) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> DataFrame:
     """Texts to packed pieces. The pieces are written once: they are counted, then packed."""
-    return pack(stage(pieces(docs, vocabulary, pattern, window), "pieces"), window)
+    return pack(stage(pieces(docs, vocabulary, window), "pieces"), window)
