@@ -26,7 +26,7 @@ def lines_of(text: Column) -> Column:
 
 
 def windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """doc_id, key, at, hash for every window of every different document."""
+    """doc_id, key, at, upto, hash for every window of every document; upto is its last line."""
     hashes = F.transform(lines_of(F.col("text")), lambda line: F.xxhash64(F.trim(line)))
     blank = F.transform(lines_of(F.col("text")), lambda line: F.trim(line) == "")
     rows = docs.filter("text <> ''").select("doc_id", text_key(F.col("text")).alias("key"), hashes.alias("h"), blank.alias("b"))
@@ -35,12 +35,13 @@ def windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
         F.sequence(F.lit(0), count - 1),
         lambda i: F.struct(
             i.alias("at"),
+            (F.least(i + size, F.size("h")) - 1).alias("upto"),
             F.xxhash64(F.slice("h", i + 1, size)).alias("hash"),
             F.forall(F.slice("b", i + 1, size), lambda x: x).alias("blank"),
         ),
     )
     every = rows.select("doc_id", "key", F.explode(made).alias("w")).select("doc_id", "key", "w.*")
-    return every.filter(~F.col("blank")).select("doc_id", "key", "at", "hash")
+    return every.filter(~F.col("blank")).select("doc_id", "key", "at", "upto", "hash")
 
 
 def covered_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -59,7 +60,7 @@ def covered_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     later = found.join(small(repeated, repeated.count()), "hash").filter(
         ~(F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("key") == F.col("f_key")) & (F.col("at") == F.col("f_at")))
     )
-    return later.select("doc_id", "key", F.explode(F.sequence("at", F.col("at") + size - 1)).alias("at")).distinct()
+    return later.select("doc_id", "key", F.explode(F.sequence("at", "upto")).alias("at")).distinct()
 
 
 def drop_repeated_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -70,14 +71,16 @@ def drop_repeated_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     lists = stage(
         gone.groupBy(F.col("doc_id").alias("g_id"), F.col("key").alias("g_key")).agg(F.collect_set("at").alias("g_at")), "covered"
     )
+    # the lists are as large as the lines they hold, so those are counted for the broadcast
+    held = lists.agg(F.sum(F.size("g_at"))).first()[0] or 0
     lines = F.coalesce(F.when(F.col("text") != "", F.size(lines_of(F.col("text")))), F.lit(0))
     keyed = docs.join(
-        small(lists, lists.count()),
+        small(lists, held),
         F.col("doc_id").eqNullSafe(F.col("g_id")) & (text_key(F.col("text")) == F.col("g_key")),
         "left",
     )
     count = lines.alias("lines")
-    removed = F.coalesce(F.size(F.filter("g_at", lambda at: at < lines)), F.lit(0))
+    removed = F.when(F.col("g_at").isNull(), F.lit(0)).otherwise(F.size("g_at"))
     kept = F.array_join(F.filter(lines_of(F.col("text")), lambda line, at: ~F.array_contains("g_at", at)), "\n")
     text = F.when(F.col("g_at").isNull(), F.col("text")).otherwise(kept)
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "lines", "removed_lines")]
