@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import bpe, exact_dedup, langid, line_dedup, ngram_join, packing, secrets
+from shelfwise.llm import ann, bpe, exact_dedup, langid, line_dedup, ngram_join, packing, secrets
 from shelfwise.llm.common import table
 
 QUERIES: dict = {}
@@ -105,3 +105,9 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = bpe.round_trip(F.col("text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).alias("r")
     return table(spark, sf_dir, "documents").select("doc_id", made).select("doc_id", "r.*")
+
+
+@register("op2_ann_search")
+def op2_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return ann.nearest(rows, rows.filter(F.col("vec_id") % 100 == 0))
