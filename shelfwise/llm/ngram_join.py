@@ -28,8 +28,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import blocks, code_points, mix64, small, text_key, worker_cache
+from shelfwise.llm.common import blocks, mix64, small, text_key
 from shelfwise.llm.graph import components
+from shelfwise.llm.words import runs_of
 from shelfwise.sources.scratch import stage
 
 WORDS = 5
@@ -53,33 +54,14 @@ def choose_bands(similarity: float = SIMILARITY, recall: float = RECALL, hashes:
     return best
 
 
-def _word_table() -> np.ndarray:
-    cache = worker_cache("word_chars")
-    if "is" not in cache:
-        cache["is"] = np.fromiter((chr(c).isalnum() for c in range(0x110000)), dtype=bool, count=0x110000)
-    return cache["is"]
-
-
 def shingle_sets(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Hashed shingles of all texts, sorted and distinct per text, and the start of each text."""
     if not texts:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
-    codes, begins = code_points([t.lower() + " " for t in texts])
-    ends = begins[1:]
-    inside = _word_table()[codes]
-    first = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
-    if not len(first):
+    runs = runs_of(texts)
+    word, per_doc = runs.hash, runs.per_text
+    if not len(word):
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    last = np.flatnonzero(inside & ~np.concatenate([inside[1:], [False]]))
-    # a word's hash: the sum of its characters times a random odd number for their place
-    odd = np.random.default_rng(SEED).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    at = np.flatnonzero(inside)
-    lengths = last - first + 1
-    place = np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    value = (codes[at].astype(np.uint64) + (place >> 6).astype(np.uint64)) * odd[place & 63]
-    word = mix64(np.add.reduceat(value, np.cumsum(lengths) - lengths))
-    doc = np.searchsorted(ends, first, side="right")
-    per_doc = np.bincount(doc, minlength=len(texts))
     begin = np.cumsum(per_doc) - per_doc
     count = np.where(per_doc == 0, 0, np.maximum(1, per_doc - words + 1))
     owner = np.repeat(np.arange(len(texts)), count)

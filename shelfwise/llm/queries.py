@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import ann, bpe, exact_dedup, langid, line_dedup, ngram_join, packing, secrets
+from shelfwise.llm import ann, bpe, exact_dedup, langid, line_dedup, ngram_join, packing, secrets, toxicity
 from shelfwise.llm.common import table
 
 QUERIES: dict = {}
@@ -111,3 +111,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     return ann.nearest(rows, rows.filter(F.col("vec_id") % 100 == 0))
+
+
+@register("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

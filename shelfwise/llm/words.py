@@ -9,6 +9,7 @@ leading space, for blanks before a word, and for contractions.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -79,6 +80,46 @@ def word_hashes(codes: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return mix64(np.add.reduceat(value, begins) + lengths.astype(np.uint64))
 
 
+def word_chars() -> np.ndarray:
+    """For each code point: is it a letter or digit."""
+    cache = worker_cache("word_chars")
+    if "is" not in cache:
+        cache["is"] = np.fromiter((chr(c).isalnum() for c in range(0x110000)), dtype=bool, count=0x110000)
+    return cache["is"]
+
+
+@dataclass
+class Runs:
+    """Runs of letters and digits of lower-cased texts, one text after another."""
+
+    codes: np.ndarray  # all characters
+    first: np.ndarray  # where each run begins in them
+    length: np.ndarray
+    hash: np.ndarray  # 64 bits
+    per_text: np.ndarray  # runs of each text
+    starts: np.ndarray  # where each text begins in codes
+
+
+def runs_of(texts: list[str]) -> Runs:
+    codes, starts = code_points([t.lower() + " " for t in texts])
+    inside = word_chars()[codes]
+    first = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+    if not len(first):
+        none = np.zeros(0, np.int64)
+        return Runs(codes, none, none, np.zeros(0, np.uint64), np.zeros(len(texts), np.int64), starts)
+    last = np.flatnonzero(inside & ~np.concatenate([inside[1:], [False]]))
+    # a word's hash: the sum of its characters times a random odd number for their place
+    odd = np.random.default_rng(20240607).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    at = np.flatnonzero(inside)
+    length = last - first + 1
+    offset = np.cumsum(length) - length
+    place = np.arange(len(at)) - np.repeat(offset, length)
+    value = (codes[at].astype(np.uint64) + (place >> 6).astype(np.uint64)) * odd[place & 63]
+    hashed = mix64(np.add.reduceat(value, offset))
+    text = np.searchsorted(starts[1:], first, side="right")
+    return Runs(codes, first, length, hashed, np.bincount(text, minlength=len(texts)), starts)
+
+
 class WordTable:
     """Ids of texts through the ids of their words, which are remembered up to CACHED_WORDS."""
 
