@@ -14,14 +14,25 @@ from pyspark.sql import functions as F
 # A side of a join is broadcast only up to this many rows of a few numbers each.
 BROADCAST_KEYS = 1_000_000
 
+# Rows of an Arrow batch between Spark and Python.
+BATCH_ROWS = 1000
+
 # Characters of text that numpy works on at once inside a task.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts can be long: an Arrow batch holds BATCH_ROWS rows at most, so that a worker's memory
+    stays bounded. A smaller bound that the session already has stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the rows kept out of training: crc32 of the id as text is a multiple of 5.
     A missing id counts as held out."""

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import blocks, code_points, held_out, letter_table
+from shelfwise.llm.common import blocks, bounded_batches, code_points, held_out, letter_table
 
 FEATURES = 1 << 15
 MATRIX_BYTES = 64 << 20
@@ -132,6 +132,7 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 def identify(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score."""
+    bounded_batches(docs.sparkSession)
     langs, matrix = learn(docs)
     found = prediction(docs.sparkSession, langs, matrix, F.col("text")).alias("found")
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), found)
@@ -140,6 +141,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents whose language can be told, all columns; the others (no letter, NULL) go."""
+    bounded_batches(docs.sparkSession)
     langs, matrix = learn(docs)
     found = prediction(docs.sparkSession, langs, matrix, F.col("text"))
     return docs.filter(found["lang_pred"] != UNKNOWN)

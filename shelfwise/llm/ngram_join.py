@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import blocks, mix64, small, text_key
+from shelfwise.llm.common import blocks, bounded_batches, mix64, small, text_key
 from shelfwise.llm.graph import components
 from shelfwise.llm.words import runs_of
 from shelfwise.sources.scratch import stage
@@ -127,6 +127,7 @@ def _sketch(bands: int, rows: int, words: int):
 
 def digests(docs: DataFrame, bands: int, rows: int, words: int = WORDS) -> DataFrame:
     """doc_id, text_key, cls (NULL without words), bands; written once."""
+    bounded_batches(docs.sparkSession)
     made = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         text_key(F.col("text")).alias("text_key"),

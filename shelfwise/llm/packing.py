@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import blocks, worker_cache
+from shelfwise.llm.common import blocks, bounded_batches, worker_cache
 from shelfwise.llm.words import WordTable
 from shelfwise.sources.scratch import stage
 
@@ -89,6 +89,7 @@ def pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> DataFrame:
                         seq += 1
                 yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "seq"])
 
+    bounded_batches(docs.sparkSession)
     # ids travel as text: a NULL among 64-bit numbers would turn them into floats
     rows = docs.select(F.col("doc_id").cast("string"), F.col("text"))
     made = rows.mapInPandas(run, PIECES.replace("doc_id long", "doc_id string"))

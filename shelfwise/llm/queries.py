@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm import ann, bpe, exact_dedup, langid, line_dedup, lm_score, ngram_join, packing, secrets, toxicity
-from shelfwise.llm.common import table
+from shelfwise.llm.common import bounded_batches, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -103,6 +103,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op9_byte_bpe")
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     made = bpe.round_trip(F.col("text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).alias("r")
     return table(spark, sf_dir, "documents").select("doc_id", made).select("doc_id", "r.*")
 

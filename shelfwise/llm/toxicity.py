@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import blocks, held_out
+from shelfwise.llm.common import blocks, bounded_batches, held_out
 from shelfwise.llm.words import Runs, runs_of
 from shelfwise.sources.scratch import stage
 
@@ -354,6 +354,7 @@ def score(spark: SparkSession, model: Model | None, text: Column) -> Column:
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
+    bounded_batches(docs.sparkSession)
     model = learn(docs, labels)
     made = docs.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), score(docs.sparkSession, model, F.col("text")).alias("score")

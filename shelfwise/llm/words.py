@@ -16,7 +16,7 @@ import pandas as pd
 
 from shelfwise.llm.common import code_points, mix64, worker_cache
 
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 400_000
 LETTER, NUMBER, BLANK, OTHER, END = 0, 1, 2, 3, 4
 
 
