@@ -173,7 +173,7 @@ def located() -> Column:
     return F.col("store_lat").isNotNull() & F.col("store_lng").isNotNull()
 
 
-def store_breakdown(position: DataFrame, keep: Column | None = None, limit: int = STORE_LIMIT) -> DataFrame:
+def store_breakdown(position: DataFrame, keep: Column | None = None, limit: int | None = STORE_LIMIT) -> DataFrame:
     """One row per store for the map, with its most urgent status. Stores without coordinates
     drop out."""
     if keep is None:
@@ -182,7 +182,7 @@ def store_breakdown(position: DataFrame, keep: Column | None = None, limit: int
     for status, value in STATUS_RANK.items():
         rank = F.when(F.col("position_status") == status, value).otherwise(rank)
     names = F.array(*[F.lit(s) for s in sorted(STATUS_RANK, key=STATUS_RANK.get)])
-    return (
+    stores = (
         position.where(located() & keep)
         .groupBy("store_id")
         .agg(
@@ -196,9 +196,10 @@ def store_breakdown(position: DataFrame, keep: Column | None = None, limit: int
             F.min(rank).alias("worst_rank"),
         )
         .withColumn("status", F.element_at(names, F.col("worst_rank") + 1))
-        .orderBy(F.desc("lost_sales_exposure_usd"), "store_id")
-        .limit(limit)
     )
+    if limit is None:
+        return stores
+    return stores.orderBy(F.desc("lost_sales_exposure_usd"), "store_id").limit(limit)
 
 
 def map_extent(breakdown: DataFrame) -> DataFrame:

@@ -188,12 +188,13 @@ FROM raw_stores s JOIN (
     SUM(lost_sales_exposure_usd) AS lost_sales_exposure_usd, SUM(markdown_exposure_usd) AS markdown_exposure_usd,
     MIN(list_position(['stockout', 'at_risk', 'overstock'], position_status)) AS urgency
   FROM positions WHERE position_status <> 'healthy' GROUP BY store_id) AS per_store USING (store_id)
-ORDER BY lost_sales_exposure_usd DESC, store_id LIMIT 500"""
+"""
+BREAKDOWN_LIST = f"{BREAKDOWN}ORDER BY lost_sales_exposure_usd DESC, store_id LIMIT 500"
 
 
 @query("store_breakdown",
        "store_id:i store_name:s city:s region:s climate_zone:s lat:4 lng:4 positions:i recent_velocity:4 "
-       "lost_sales_exposure_usd:2 markdown_exposure_usd:2 status:s", BREAKDOWN)
+       "lost_sales_exposure_usd:2 markdown_exposure_usd:2 status:s", BREAKDOWN_LIST)
 def store_breakdown(r: Retail) -> DataFrame:
     return queue.store_breakdown(r.position)
 
@@ -202,7 +203,7 @@ def store_breakdown(r: Retail) -> DataFrame:
        f"""SELECT MIN(lat) AS min_lat, MAX(lat) AS max_lat, MIN(lng) AS min_lng, MAX(lng) AS max_lng,
   SUM(positions) AS total_positions FROM ({BREAKDOWN}) AS stores_on_map""")
 def map_extent(r: Retail) -> DataFrame:
-    return queue.map_extent(store_breakdown(r))
+    return queue.map_extent(queue.store_breakdown(r.position, limit=None))
 
 
 @query("map_bubbles", "store_id:i status:s radius:4",
@@ -210,7 +211,7 @@ def map_extent(r: Retail) -> DataFrame:
   SQRT(GREATEST(CAST(1 AS DOUBLE), recent_velocity)) * CAST(2.6 AS DOUBLE))) AS radius
 FROM ({BREAKDOWN}) AS stores_on_map""")
 def map_bubbles(r: Retail) -> DataFrame:
-    return store_breakdown(r).withColumn("radius", queue.bubble_radius(F.col("recent_velocity")))
+    return queue.store_breakdown(r.position, limit=None).withColumn("radius", queue.bubble_radius(F.col("recent_velocity")))
 
 
 @query("top_n_view_score",
