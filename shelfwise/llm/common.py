@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 from collections.abc import Iterator
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 # A side of a join is broadcast only up to this many rows of a few numbers each.
 BROADCAST_KEYS = 1_000_000
 
-# Rows of an Arrow batch between Spark and Python.
+# Rows, and bytes, of an Arrow batch between Spark and Python.
 BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 
 # Characters of text that numpy works on at once inside a task.
 BLOCK_CHARS = 500_000
@@ -26,11 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Texts can be long: an Arrow batch holds BATCH_ROWS rows at most, so that a worker's memory
-    stays bounded. A smaller bound that the session already has stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+    """Texts can be long: an Arrow batch holds BATCH_ROWS rows and about BATCH_BYTES bytes at most,
+    so that a worker's memory stays bounded. A smaller bound that the session already has stays."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        number, unit = re.fullmatch(r"(-?\d+)([kmgt]?)b?", spark.conf.get(key).lower()).groups()
+        if not 0 < int(number) << (10 * " kmgt".index(unit or " ")) <= most:
+            spark.conf.set(key, most)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -12,6 +12,7 @@ by doc_id (NULL last), then start, then checksum, so a rerun packs alike.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -39,6 +40,7 @@ class TextIds:
     versions could differ, are encoded whole."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; each thread would keep memory of its own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -47,8 +49,8 @@ class TextIds:
 
     def _words(self, words: list[str]) -> list[list[int]]:
         out: list[list[int]] = []
-        for first in range(0, len(words), 20_000):
-            got = self.tokenizer.encode_batch_fast(words[first : first + 20_000], add_special_tokens=False)
+        for first in range(0, len(words), 4_000):
+            got = self.tokenizer.encode_batch_fast(words[first : first + 4_000], add_special_tokens=False)
             out += [x.ids for x in got]
         return out
 
