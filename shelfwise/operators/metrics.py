@@ -15,6 +15,11 @@ def _count_of(status: str) -> Column:
     return F.sum(F.when(F.col("position_status") == status, 1).otherwise(0))
 
 
+def _total(col: str) -> Column:
+    """A sum taken before the change to double: exact for decimals, in whatever order rows come."""
+    return F.sum(col).cast("double")
+
+
 MEASURES: dict[str, Callable[[], Column]] = {
     "lost_sales_exposure": lambda: F.sum("lost_sales_exposure_usd"),
     "markdown_exposure": lambda: F.sum("markdown_exposure_usd"),
@@ -24,8 +29,8 @@ MEASURES: dict[str, Callable[[], Column]] = {
     "position_count": lambda: F.count(F.lit(1)),
     "stockout_count": lambda: _count_of("stockout"),
     "overstock_count": lambda: _count_of("overstock"),
-    "avg_weeks_of_supply": lambda: F.avg(F.col("weeks_of_supply").cast("double")),
-    "avg_markdown_risk": lambda: F.avg(F.col("markdown_risk_score").cast("double")),
+    "avg_weeks_of_supply": lambda: _total("weeks_of_supply") / F.nullif(F.count("weeks_of_supply"), F.lit(0)),
+    "avg_markdown_risk": lambda: _total("markdown_risk_score") / F.nullif(F.count("markdown_risk_score"), F.lit(0)),
 }
 
 # Averages do not add up, so the rollup carries their sum and count.
@@ -48,7 +53,7 @@ def rollup_base(df: DataFrame) -> DataFrame:
     sums = [MEASURES[m]().alias(m) for m in MEASURES if m not in AVERAGED]
     parts = []
     for name, col in AVERAGED.items():
-        parts += [F.sum(F.col(col).cast("double")).alias(f"{name}_sum"), F.count(col).alias(f"{name}_n")]
+        parts += [F.sum(col).alias(f"{name}_sum"), F.count(col).alias(f"{name}_n")]
     return df.groupBy(*ROLLUP_DIMENSIONS).agg(*sums, *parts)
 
 
@@ -57,7 +62,7 @@ def from_rollup(base: DataFrame, dims: list[str], measures: list[str]) -> DataFr
     out = []
     for m in measures:
         if m in AVERAGED:
-            value = F.sum(f"{m}_sum") / F.nullif(F.sum(f"{m}_n"), F.lit(0))
+            value = _total(f"{m}_sum") / F.nullif(F.sum(f"{m}_n"), F.lit(0))
         else:
             value = F.sum(m)
         out.append(value.alias(m))

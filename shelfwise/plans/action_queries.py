@@ -297,10 +297,10 @@ def mirror_insert_absent(r: Retail) -> DataFrame:
        "id:s store_id:i product_id:i price_usd:2 lost_sales_exposure_usd:2 position_status:s",
        """SELECT *, CONCAT(store_id, ':', product_id) AS id FROM (
 SELECT * EXCLUDE (position_status), CASE WHEN position_status = 'at_risk' THEN 'healthy' ELSE position_status END AS position_status
-FROM positions WHERE position_status <> 'healthy') AS known""")
+FROM positions) AS known""")
 def mirror_normalize(r: Retail) -> DataFrame:
     status = F.col("position_status")
-    foreign = r.flagged.withColumn(
+    foreign = r.position.withColumn(
         "position_status", F.when(status == "at_risk", "running_low").otherwise(status)
     )
     return mirror.normalize(foreign)
@@ -309,12 +309,12 @@ def mirror_normalize(r: Retail) -> DataFrame:
 @query("mirror_reset", "dataset:s row_count:i",
        """SELECT 'ops_actions' AS dataset, 0 AS row_count
 UNION ALL SELECT 'messages', 0
-UNION ALL SELECT 'store_sku_position', COUNT(*) FROM positions WHERE position_status <> 'healthy'
+UNION ALL SELECT 'store_sku_position', COUNT(*) FROM positions
 UNION ALL SELECT 'open_shortfalls', COUNT(*) FROM shortfalls""")
 def mirror_reset(r: Retail) -> DataFrame:
     after = mirror.reset(
         {"ops_actions": r.actions, "messages": r.messages},
-        {"store_sku_position": r.flagged, "open_shortfalls": r.shortfalls},
+        {"store_sku_position": r.position, "open_shortfalls": r.shortfalls},
     )
     return tables.row_counts(after)
 

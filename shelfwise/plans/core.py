@@ -35,8 +35,9 @@ def silver_sales(r: Retail) -> DataFrame:
 
 
 SILVER_INVENTORY = (
-    "store_id:i store_name:s region:s climate_zone:s product_id:i product_name:s category:s subcategory:s "
-    "price_usd:2 cost_usd:4 snapshot_date:d on_hand_units:i on_order_units:i merch_note_text:s "
+    "store_id:i store_name:s region:s climate_zone:s city:s store_lat:4 store_lng:4 product_id:i "
+    "product_name:s category:s subcategory:s seasonality:s price_usd:2 cost_usd:4 snapshot_date:d "
+    "on_hand_units:i on_order_units:i merch_note_text:s "
     "markdown_risk_score:1"
 )
 
@@ -154,13 +155,13 @@ def nearest_surplus(r: Retail) -> DataFrame:
 
 
 @query("knn_surplus", SHORTFALL + " nth:i", """
-SELECT * EXCLUDE (nth), IF(nearest_surplus_store_id IS NOT NULL, nth, NULL) AS nth FROM surplus_ranked WHERE nth <= 3""")
+SELECT * EXCLUDE (nth), CASE WHEN nearest_surplus_store_id IS NOT NULL THEN nth END AS nth FROM surplus_ranked WHERE nth <= 3""")
 def knn_surplus(r: Retail) -> DataFrame:
     return rec.knn_surplus(r.flagged, 3)
 
 
 @query("rank_nearest", "store_id:i product_id:i nearest_surplus_store_id:i nth:i", """
-SELECT * EXCLUDE (nth), IF(nearest_surplus_store_id IS NOT NULL, nth, NULL) AS nth FROM surplus_ranked WHERE nth <= 5""")
+SELECT * EXCLUDE (nth), CASE WHEN nearest_surplus_store_id IS NOT NULL THEN nth END AS nth FROM surplus_ranked WHERE nth <= 5""")
 def rank_nearest(r: Retail) -> DataFrame:
     return rec.knn_surplus(r.flagged, 5)
 

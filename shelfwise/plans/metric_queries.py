@@ -19,7 +19,7 @@ MEASURE_SQL = """SUM(lost_sales_exposure_usd) AS lost_sales_exposure, SUM(markdo
   SUM(on_hand_units) AS on_hand_units, SUM(recent_units_7d) AS recent_units_7d, SUM(recent_net_sales_7d) AS recent_net_sales_7d,
   COUNT(*) AS position_count, COUNT(*) FILTER (WHERE position_status = 'stockout') AS stockout_count,
   COUNT(*) FILTER (WHERE position_status = 'overstock') AS overstock_count,
-  AVG(CAST(weeks_of_supply AS DOUBLE)) AS avg_weeks_of_supply, AVG(CAST(markdown_risk_score AS DOUBLE)) AS avg_markdown_risk"""
+  AVG(CAST(weeks_of_supply AS DOUBLE)) AS avg_weeks_of_supply, SUM(CAST(markdown_risk_score AS DECIMAL(18,1)))::DOUBLE / NULLIF(COUNT(markdown_risk_score), 0) AS avg_markdown_risk"""
 
 OPEN = "position_status IN ('stockout', 'at_risk')"
 WORST = "ORDER BY lost_sales_exposure_usd DESC NULLS LAST, store_id, product_id"
@@ -44,6 +44,12 @@ def metric_view_by_product(r: Retail) -> DataFrame:
     return metrics.measure(r.position, ["product_id", "product_name"], ALL_MEASURES, keep)
 
 
+@query("metric_view_all_products", f"product_id:i product_name:s {MEASURE_SPEC}",
+       f"SELECT product_id, product_name, {MEASURE_SQL} FROM positions GROUP BY product_id, product_name")
+def metric_view_all_products(r: Retail) -> DataFrame:
+    return metrics.measure(r.position, ["product_id", "product_name"], ALL_MEASURES)
+
+
 @query("metric_rollup", f"region:s position_status:s {MEASURE_SPEC}",
        f"SELECT region, position_status, {MEASURE_SQL} FROM positions GROUP BY region, position_status")
 def metric_rollup(r: Retail) -> DataFrame:
@@ -175,18 +181,18 @@ def product_status_drill(r: Retail) -> DataFrame:
 
 
 @query("null_location_filter", "store_id:i product_id:i store_lat:4 store_lng:4 position_status:s",
-       "SELECT * FROM positions WHERE position_status <> 'healthy' AND store_lat + store_lng IS NOT NULL")
+       "SELECT * FROM positions WHERE store_lat IS NOT NULL AND store_lng IS NOT NULL")
 def null_location_filter(r: Retail) -> DataFrame:
-    return r.position.where(queue.located() & (F.col("position_status") != "healthy"))
+    return r.position.where(queue.located())
 
 
 BREAKDOWN = """SELECT s.*, store_lat AS lat, store_lng AS lng, positions, units / 7::DOUBLE AS recent_velocity,
   lost_sales_exposure_usd, markdown_exposure_usd,
-  list_extract(['stockout', 'at_risk', 'overstock'], urgency) AS status
+  CASE WHEN stockouts > 0 THEN 'stockout' WHEN at_risks > 0 THEN 'at_risk' ELSE 'overstock' END AS status
 FROM raw_stores s JOIN (
   SELECT store_id, COUNT(*) AS positions, SUM(recent_units_7d) AS units,
     SUM(lost_sales_exposure_usd) AS lost_sales_exposure_usd, SUM(markdown_exposure_usd) AS markdown_exposure_usd,
-    MIN(list_position(['stockout', 'at_risk', 'overstock'], position_status)) AS urgency
+    COUNT(*) FILTER (position_status = 'stockout') AS stockouts, COUNT(*) FILTER (position_status = 'at_risk') AS at_risks
   FROM positions WHERE position_status <> 'healthy' GROUP BY store_id) AS per_store USING (store_id)
 """
 BREAKDOWN_LIST = f"{BREAKDOWN}ORDER BY lost_sales_exposure_usd DESC, store_id LIMIT 500"
@@ -244,9 +250,11 @@ def sales_profile(r: Retail) -> DataFrame:
 # ---- queue: recommendations and live state
 
 QUEUE_SPEC = (
-    "id:s store_id:i product_id:i store_name:s city:s product_name:s position_status:s on_hand_units:i "
-    "avg_daily_velocity:4 lost_sales_exposure_usd:2 markdown_exposure_usd:2 recommended_move:s "
-    "predicted_recaptured_usd:2 live_move_type:s action_status:s"
+    "id:s store_id:i store_name:s region:s climate_zone:s city:s store_lat:4 store_lng:4 product_id:i "
+    "product_name:s category:s seasonality:s on_hand_units:i on_order_units:i recent_units_7d:i "
+    "avg_daily_velocity:4 weeks_of_supply:4 price_usd:2 markdown_risk_score:1 lost_sales_exposure_usd:2 "
+    "markdown_exposure_usd:2 position_status:s recommended_move:s predicted_recaptured_usd:2 live_move_type:s "
+    "action_status:s"
 )
 
 
@@ -254,9 +262,10 @@ def live_queue(r: Retail, rows: DataFrame) -> DataFrame:
     return queue.with_live_state(rows, r.recommended, r.actions)
 
 
-@query("live_state_join", QUEUE_SPEC, "SELECT * FROM queue WHERE position_status <> 'healthy'")
+@query("live_state_join", QUEUE_SPEC, "SELECT * FROM queue")
 def live_state_join(r: Retail) -> DataFrame:
-    return live_queue(r, r.flagged)
+    """Every position, healthy ones too."""
+    return live_queue(r, r.position)
 
 
 @query("position_queue_filter", QUEUE_SPEC,
@@ -281,11 +290,11 @@ def queue_sorted(r: Retail) -> DataFrame:
 
 
 @query("queue_text_search", "store_id:i product_id:i store_name:s city:s product_name:s",
-       """SELECT * FROM positions WHERE position_status <> 'healthy' AND (lower(COALESCE(store_name, '')) LIKE '%gizmo%'
+       """SELECT * FROM positions WHERE lower(COALESCE(store_name, '')) LIKE '%gizmo%'
   OR lower(COALESCE(city, '')) LIKE '%gizmo%' OR lower(COALESCE(product_name, '')) LIKE '%gizmo%'
-  OR lower(CAST(product_id AS VARCHAR)) LIKE '%gizmo%')""")
+  OR lower(CAST(product_id AS VARCHAR)) LIKE '%gizmo%'""")
 def queue_text_search(r: Retail) -> DataFrame:
-    return r.position.where((F.col("position_status") != "healthy") & queue.text_filter(" Gizmo "))
+    return r.position.where(queue.text_filter(" Gizmo "))
 
 
 @query("recovery_in_progress", QUEUE_SPEC, f"SELECT * FROM queue WHERE {OPEN} AND live_move_type IS NOT NULL")
@@ -327,7 +336,7 @@ def position_lookup(r: Retail) -> DataFrame:
     wanted = (F.col("store_id") == worst_key(r, "store_id")) & (
         F.col("product_id") == worst_key(r, "product_id")
     )
-    return live_queue(r, r.flagged.where(wanted))
+    return live_queue(r, r.position.where(wanted))
 
 
 LOOKUP_SPEC = (
