@@ -42,8 +42,15 @@ def with_messages(heads: DataFrame, messages: DataFrame, page: int = PAGE) -> Da
     return heads.join(pages, "conversation_id")
 
 
+def dock_id(user: Column) -> Column:
+    """-1 less the first 60 bits of the name's MD5 digest."""
+    return F.lit(-1).cast("bigint") - F.conv(F.substring(F.md5(user.cast("binary")), 1, 15), 16, 10).cast("bigint")
+
+
 def get_or_create_dock(heads: DataFrame, users: DataFrame) -> DataFrame:
-    """One dock conversation per user: the existing one with the smallest id, else a new row."""
+    """One dock conversation per user: the existing one with the smallest id, else a new row. Its id
+    comes from the user's name, so a repeated run makes the same row; it is negative, so it never
+    meets a given id."""
     docks = heads.where(F.col("kind") == DOCK_KIND).groupBy("user_email").agg(
         F.min("conversation_id").alias("conversation_id")
     )
@@ -52,7 +59,7 @@ def get_or_create_dock(heads: DataFrame, users: DataFrame) -> DataFrame:
         "user_email", "conversation_id", "title", F.lit(False).alias("created")
     )
     created = missing.select(
-        "user_email", F.lit(None).cast("bigint").alias("conversation_id"),
+        "user_email", dock_id(F.col("user_email")).alias("conversation_id"),
         F.lit(DOCK_TITLE).alias("title"), F.lit(True).alias("created"),
     )
     return existing.join(users.select("user_email").distinct(), "user_email", "left_semi").unionByName(created)

@@ -9,9 +9,9 @@ KEY = ["store_id", "product_id"]
 TREND_DAYS = 56
 
 
-def velocity_trend(sales: DataFrame, keep: Column, days: int = TREND_DAYS) -> DataFrame:
-    """Units per week and zone over the last days before the newest sale."""
-    newest = sales.agg(F.max("sale_date")).scalar()
+def velocity_trend(sales: DataFrame, keep: Column, days: int = TREND_DAYS, as_of: Column | None = None) -> DataFrame:
+    """Units per week and zone over the last days before as_of, or else before the newest sale."""
+    newest = as_of if as_of is not None else sales.agg(F.max("sale_date")).scalar()
     return (
         sales.where(keep & (F.col("sale_date") >= F.date_sub(newest, days)))
         .groupBy(F.date_trunc("week", "sale_date").alias("week"), "climate_zone")

@@ -71,7 +71,7 @@ def transfer_outcomes(r: Retail) -> DataFrame:
 
 @query("current_snapshot", SILVER_INVENTORY, "SELECT * FROM current_stock")
 def current_snapshot(r: Retail) -> DataFrame:
-    return pos.current_snapshot(r.silver_inventory)
+    return pos.current_snapshot(r.silver_inventory, as_of=r.newest)
 
 
 @query(
@@ -89,7 +89,7 @@ def trailing_window_filter(r: Retail) -> DataFrame:
     "SELECT * FROM recent_sales",
 )
 def recent_sales_7d(r: Retail) -> DataFrame:
-    return pos.recent_sales(r.silver_sales)
+    return pos.recent_sales(r.silver_sales, as_of=r.newest)
 
 
 @query(
@@ -99,7 +99,7 @@ def recent_sales_7d(r: Retail) -> DataFrame:
 )
 def position_base_join(r: Retail) -> DataFrame:
     return pos.join_recent_sales(
-        pos.current_snapshot(r.silver_inventory), pos.recent_sales(r.silver_sales)
+        pos.current_snapshot(r.silver_inventory, r.newest), pos.recent_sales(r.silver_sales, as_of=r.newest)
     )
 
 

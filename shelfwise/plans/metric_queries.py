@@ -237,7 +237,7 @@ def top_n_view_score(r: Retail) -> DataFrame:
 WHERE seasonality = 'cold_weather' AND sale_date >= (SELECT MAX(sale_date) FROM silver_sales) - INTERVAL 56 DAYS
 GROUP BY 1, 2""")
 def velocity_trend_weekly(r: Retail) -> DataFrame:
-    return history.velocity_trend(r.silver_sales, affected()).orderBy("week", "climate_zone")
+    return history.velocity_trend(r.silver_sales, affected(), as_of=r.newest).orderBy("week", "climate_zone")
 
 
 @query("sales_profile", "row_count:i stores:i products:i first_date:d last_date:d",

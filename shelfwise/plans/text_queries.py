@@ -290,7 +290,8 @@ def conversation_with_messages(r: Retail) -> DataFrame:
 
 
 @query("get_or_create_singleton", "user_email:s conversation_id:i title:s created:b",
-       """SELECT u.user_email, d.conversation_id, COALESCE(h.title, 'Assistant') AS title, d.conversation_id IS NULL AS created
+       """SELECT u.user_email, COALESCE(d.conversation_id, -1 - CAST('0x' || LEFT(md5(u.user_email), 15) AS BIGINT)) AS conversation_id,
+  COALESCE(h.title, 'Assistant') AS title, d.conversation_id IS NULL AS created
 FROM (SELECT DISTINCT user_email FROM conversation_heads) u
 LEFT JOIN (SELECT user_email, MIN(conversation_id) AS conversation_id FROM conversation_heads
   WHERE kind = 'demo_dock' GROUP BY user_email) d ON d.user_email = u.user_email
