@@ -15,14 +15,12 @@ from shelfwise.sources.scratch import stage
 
 # ---- product and note search
 
-_WINTER = " OR ".join(
-    f"regexp_matches(lower({col}), '{'|'.join(words)}')"
-    for col, words in (("seasonality", search.WINTER_SEASONS), ("category", search.WINTER_CATEGORIES),
-                       ("product_name", search.WINTER_NAMES))
-)
-CATALOG = f"""
+# Fixed values, written out: the twins do not share them with the operators they check.
+CATALOG = """
 SELECT p.*, most_on_hand,
-  CONCAT_WS(' ', product_name, category, seasonality, IF({_WINTER}, '{search.WINTER_PHRASE}', 'apparel')) AS description
+  CONCAT_WS(' ', product_name, category, seasonality, CASE WHEN lower(seasonality) LIKE '%winter%'
+    OR lower(category) LIKE '%outerwear%' OR regexp_matches(lower(product_name), 'parka|jacket|fleece|hoodie|coat')
+    THEN 'warm insulated cold-weather layer for winter warmth' ELSE 'apparel' END) AS description
 FROM raw_products p JOIN (SELECT product_id, MAX(on_hand_units) AS most_on_hand FROM positions GROUP BY 1) AS stock
 USING (product_id)"""
 
@@ -139,8 +137,13 @@ def python_classifier(r: Retail) -> DataFrame:
 
 # ---- guards and personal data
 
-ALL_DATA = "|".join(guard.ALL_DATA_PHRASES)
-KEYWORDS = " OR ".join(f"contains(lower(prompt), '{w.lower()}')" for w in guard.BLOCKED_KEYWORDS)
+# Fixed values, written out as above.
+ALL_DATA = (
+    "all customers|every account|entire dataset|read everything|unfiltered|no filter|select \\*|list all customers|"
+    "all rows|entire table|all data|every record|dump the table"
+)
+KEYWORDS = """regexp_matches(lower(prompt), 'select \\*|select all rows|all data|entire table|dump the table|every record|'
+  || 'read all rows|all rows from|select everything|no where clause')"""
 
 
 @query("guard_all_data", "event_id:i blocked:b",
@@ -173,7 +176,11 @@ def guard_conversations(r: Retail) -> DataFrame:
     )
 
 
-_TAGS = [(p.replace("++", "+"), tag) for p, tag in guard.TAGS]
+_TAGS = [
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "<EMAIL_ADDRESS>"),
+    ("[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}", "<CREDIT_CARD>"),
+    ("[0-9]{3}-[0-9]{2}-[0-9]{4}", "[SSN_REDACTED]"),
+]
 _PII = " OR ".join(f"regexp_matches(text, '{p}')" for p, _ in _TAGS)
 _REDACTED = "text"
 for _pattern, _tag in _TAGS:
