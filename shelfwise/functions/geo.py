@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 EARTH_RADIUS_KM = 6371.0
 
 # Cell edges in degrees, coarse to fine. A region holds a bounded number of cells, whatever
-# the number of stores, so each probe meets few cells before it meets any point. One size does
-# for regions of a country; for wider ones put a coarser size in front.
-CELL_DEGREES = (2.0,)
+# the number of stores, so each probe meets few cells before it meets any point. The finest, of
+# about 3 km, holds for towns; for regions wider than a country put a coarser size in front.
+CELL_DEGREES = (2.0, 0.25, 0.03)
 
 
 def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
