@@ -156,6 +156,31 @@ def test_lm_scores(docs, empty):
     assert after > before
 
 
+def test_lm_trains_every_position_once(spark, monkeypatch):
+    df = spark.createDataFrame([(n, prose(n, n)) for n in range(1, 40)], "doc_id long, text string").repartition(2)
+    tokens = lm_score.tokenized(df, lm_score.vocabulary(df))
+    seen = []
+    for nth in range(lm_score.ROUNDS):
+        made = []  # one unit of learning per training target, so that the averages count them
+
+        def count(w, seen, around, target):
+            w["cls_b"][0] += len(target)
+            w["cls_b"][1] += (around == lm_score.TOKENS).sum()
+
+        monkeypatch.setattr(lm_score, "step", count)
+        monkeypatch.setattr(lm_score, "_pack", lambda w: np.pad(w["cls_b"][:2], (0, lm_score.CHUNK - 2)).astype(np.float64))
+        monkeypatch.setattr(lm_score, "_unpack", lambda flat, like: made.extend(flat[:2]))
+        lm_score.train_round(tokens.coalesce(1), lm_score.start_weights(), nth)
+        seen.append(made)
+    targets, beyond = np.array(seen).sum(axis=0)
+    assert targets == sum(range(1, 40))
+    assert beyond == sum(2 * min(n, 2) + 2 * min(n, 1) for n in range(1, 40))
+    ids, lengths = np.arange(40), np.array([1, 0, 7, 32])
+    assert np.array_equal(lm_score.rounds_of(ids, lengths)[1:8], lm_score.rounds_of(ids[1:8], np.array([7])))
+    share = [(lm_score.rounds_of(np.arange(100), np.full(10, 10)) == k).mean() for k in range(lm_score.ROUNDS)]
+    assert min(share) > 0.3
+
+
 def test_language(spark, docs, empty):
     texts = {"en": "the house of the king and that which was there", "de": "der weg und das haus nicht für die straße"}
     rows = [(k, f"{texts['en' if k % 2 else 'de']} {k}", "en" if k % 2 else "de") for k in range(200)]
