@@ -181,6 +181,33 @@ def test_lm_trains_every_position_once(spark, monkeypatch):
     assert min(share) > 0.3
 
 
+def test_lm_scores_words_not_buckets(spark, monkeypatch):
+    from shelfwise.llm.words import runs_of
+
+    names = [f"w{k}" for k in range(6000)]
+    buckets = runs_of([" ".join(names)]).hash % np.uint64(lm_score.OTHERS)
+    one, two = np.flatnonzero(buckets == buckets[-1])[-2:]  # both rare, in one bucket, 1 and 3 times alone
+    rows = [" ".join(names[:5000] * 4), *names[5000:], names[two], names[two]]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.log_likelihood for r in lm_score.score_documents(df).collect()}
+    assert abs(got[len(rows) - 1] - got[rows.index(names[one])] - np.log(3)) < 1e-6
+    assert got[len(rows) - 1] == got[len(rows) - 2]
+    # above the count every word is a token, and all probabilities sum to 1
+    monkeypatch.setattr(lm_score, "MIN_COUNT", 3)
+    words = lm_score.vocabulary(df)
+    ids = lm_score.own_tokens(words)
+    assert len(words) == 5001 == len(set(ids.tolist())) and lm_score.TOKENS not in ids
+    w = lm_score.start_weights(used=lm_score.slots_used(words))
+    every = np.concatenate([ids, np.arange(lm_score.VOCABULARY, lm_score.TOKENS)])
+    around = np.repeat(np.array([[1, lm_score.TOKENS, ids[-1], 3]]), len(every), axis=0)
+    assert abs(np.exp(lm_score.log_probabilities(w, around, every)).sum() - 1) < 1e-4
+    before = lm_score.log_probabilities(w, around[:512], every[-512:]).mean()
+    seen = {k: np.full_like(v, 1e-6) for k, v in w.items()}
+    for _ in range(30):
+        lm_score.step(w, seen, around[:512], every[-512:])
+    assert lm_score.log_probabilities(w, around[:512], every[-512:]).mean() > before
+
+
 def test_language(spark, docs, empty):
     texts = {"en": "the house of the king and that which was there", "de": "der weg und das haus nicht für die straße"}
     rows = [(k, f"{texts['en' if k % 2 else 'de']} {k}", "en" if k % 2 else "de") for k in range(200)]
