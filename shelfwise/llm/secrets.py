@@ -1,6 +1,8 @@
 """Secret scans: candidates by one pattern, false positives removed by a random forest.
 
-A candidate is a run of 12 or more characters of CANDIDATE that holds a digit, `=` or `:`. Text that
+A candidate is a value of 6 or more characters, of any kind, behind a credential's name and = or :
+(up to its closing quote, or to the next blank); the password of a URL's user:password@ part; or a
+run of 12 or more characters of CANDIDATE that holds a digit, `=` or `:`. Text that
 has candidates is split at them, which gives every candidate its neighbours. The forest sees length,
 character transitions, dictionary coverage, signs of a path or address, and neighbouring words. It
 is trained from labelled findings: rows of (kind, before, value, after, label). labelled_findings()
@@ -22,7 +24,29 @@ from pyspark.sql import functions as F
 
 _CHARS = r"A-Za-z0-9_+/.~@:=-"
 CANDIDATE = rf"(?<![{_CHARS}])(?=[A-Za-z_+/.~@-]*+[0-9:=])[{_CHARS}]{{12,}}+"
+# The text in front of a value: a credential's name and = or :, and a URL's user (bounded, for Java's look-behind).
+_LOOSE = r"passw(?:or)?d|passphrase|secret|credential|api[_-]?key|access[_-]?key|private[_-]?key"
+_WHOLE = r"(?<![A-Za-z])(?:pwd|pass|token|auth|key|bearer)|(?<=[a-z])(?-i:Token|Key|Pwd|Pass)"
+_NAME = rf"(?i:{_LOOSE}|{_WHOLE})s?[0-9]?(?:[_-][A-Za-z0-9]{{1,12}})?"
+_SIGN = r"[\"']?\s{0,3}(?::=|=>|==|[:=])\s{0,3}"
+_USER = r"://[^\s/:@\"']{0,64}:"
+_BARE = r"[^\s\"'`]{5,255}[^\s\"'`,;.)\]}]"
+# the cheapest tests come first: most places fail at the character in front
+_NAMED = (
+    rf"(?<=[:=>\s\"'])(?:"
+    rf"(?<=\")(?<=[:=>]\s{{0,3}}\")(?<={_NAME}{_SIGN}\")[^\"\r\n]{{6,256}}(?=\")"
+    rf"|(?<=')(?<=[:=>]\s{{0,3}}')(?<={_NAME}{_SIGN}')[^'\r\n]{{6,256}}(?=')"
+    rf"|(?=[^\s\"'`=>:])(?<=[:=>]\s{{0,3}})(?<={_NAME}{_SIGN})(?!(?i:bearer|basic)\s){_BARE})"
+)
+_PASSWORD = r"[^\s/\"'<>]{3,128}(?=@)"
+_IN_URL = rf"(?<=:)(?<={_USER}){_PASSWORD}"
+_BEHIND_URL = rf"(?<=@)(?<={_USER}[^\s/\"'<>]{{3,128}}@)(?=[A-Za-z_+/.~@-]*+[0-9:=])[{_CHARS}]{{12,}}+"
+# a run is left to the other forms where it holds one of their values
+_OTHERS = rf"(?![A-Za-z0-9_+/.~@-]{{0,64}}(?=[\"'\s:=])(?<={_NAME}){_SIGN}{_BARE})(?![A-Za-z0-9_+.=-]{{1,64}}{_USER}{_PASSWORD})"
+_RUN = rf"(?<![{_CHARS}])(?=[A-Za-z_+/.~@-]*+[0-9:=])(?=[{_CHARS}]{{12}}){_OTHERS}[{_CHARS}]{{12,}}+"
+FOUND = rf"(?:{_NAMED}|{_IN_URL}|{_BEHIND_URL}|{_RUN})"
 CONTEXT = 48
+SHORT = 12  # values below this length are masked only where they were found
 TREES = 20
 DEPTH = 8
 TRAINING_ROWS = 6000  # bound of the labelled findings that are made
@@ -47,15 +71,15 @@ DICTIONARY = (
 
 
 def found_values(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({CANDIDATE})"), 0)
+    return F.regexp_extract_all(text, F.lit(f"({FOUND})"), 0)
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """One row per candidate of (doc_id, text): doc_id, start, value, before, after. The parts
     between the candidates give the neighbours and the offsets."""
     rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    some = rows.filter(F.col("text").rlike(CANDIDATE))
-    cut = some.select("doc_id", found_values(F.col("text")).alias("values"), F.split("text", CANDIDATE, -1).alias("parts"))
+    some = rows.filter(F.col("text").rlike(FOUND))
+    cut = some.select("doc_id", found_values(F.col("text")).alias("values"), F.split("text", FOUND, -1).alias("parts"))
     left = F.transform("parts", lambda p: F.right(p, F.lit(CONTEXT)))
     right = F.transform("parts", lambda p: F.left(p, F.lit(CONTEXT)))
     # running length of all parts and values before each candidate
@@ -92,7 +116,8 @@ def _any_word(text: Column, words: list[str]) -> Column:
 
 FEATURES = (
     "length digits upper lower symbols transitions distinct hex_only letters_only dictionary path "
-    "address dotted quoted assigned named_credential named_benign near_credential near_benign prefix dashes"
+    "address dotted quoted assigned named_credential named_benign near_credential near_benign prefix dashes "
+    "behind_name behind_user blanks reference"
 ).split()
 
 
@@ -112,7 +137,7 @@ def features(rows: DataFrame) -> DataFrame:
         runs = F.regexp_replace(runs, chars, sign)
     covered = n - F.char_length(F.regexp_replace(F.lower(core), "|".join(sorted(DICTIONARY, key=len, reverse=True)), ""))
     # the name in front of `name = "value"`, and the word before that
-    named = F.regexp_extract(before, r"([A-Za-z_-]+)\s*[=:]\s*[\"']?$", 1)
+    named = F.regexp_extract(before, r"([A-Za-z_-]+)[\"']?\s*[=:]\s*[\"']?$", 1)
     words = F.concat_ws(" ", F.regexp_extract(before, r"(\S+\s+\S+)\s*$", 1), F.regexp_extract(after, r"^\s*(\S+)", 1))
     made = {
         "length": n.cast("double"),
@@ -136,6 +161,11 @@ def features(rows: DataFrame) -> DataFrame:
         "near_benign": _any_word(words, BENIGN_WORDS),
         "prefix": core.rlike(r"^(?:AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk[-_]|AIza|eyJ|glpat-|npm_)").cast("double"),
         "dashes": core.rlike(r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$").cast("double"),
+        "behind_name": before.rlike(rf"(?:{_NAME}){_SIGN}[\"']?$").cast("double"),
+        "behind_user": (before.rlike(rf"{_USER}$") & after.startswith("@")).cast("double"),
+        "blanks": core.rlike(r"\s").cast("double"),
+        # a variable, call, template or row of one sign in place of a value
+        "reference": core.rlike(r"^(?:[$%]?[{<(\[]|\$[A-Z_]+$)|^(.)\1+$|\w\(|[\])}]$|^[A-Za-z_]+(?:\.[A-Za-z_]+)+$").cast("double"),
     }
     return rows.withColumns({f"f_{k}": F.coalesce(v, F.lit(0.0)) for k, v in made.items()})
 
@@ -164,18 +194,31 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFra
     size = pick("size", "16", "18", "20", "24", "32", "40").cast("int")
     end, text = F.concat(F.lit(" "), other), F.concat(word, F.lit(" "))
 
-    def tight(value: Column) -> Column:  # name=value, one run of characters
-        return F.concat(name, pick("tight", "=", ":"), value)
+    tight = F.concat(text, name, pick("tight", "=", ":"))
+    signs = pick("signs", "!", "&", "$", "@", "#", "%", "*", "?", "-", "")
+    common = pick("common", "hunter", "dragon", "Summer", "Tr0ub4dor", "P@ssw0rd", "l3tmein", "Qwerty", "m0nkey", "Wint3r", "s3cr3t")
+    short = F.concat(F.substring(base, 2, pick("n", "3", "4", "6").cast("int")), signs, F.substring(base, 12, pick("n2", "3", "5").cast("int")), pick("end", "!", "7", "#q", "$9"))
+    worded = F.concat(common, signs, F.substring(digits, 1, pick("n3", "1", "2", "4").cast("int")))
+    phrase = F.concat_ws("-", *[pick(f"phrase {k}", "correct", "horse", "battery", "staple", "purple", "garden", "window", "orbit") for k in range(4)])
+    phrase = F.replace(phrase, F.lit("-"), pick("join", "-", "_", "."))
+    any_form = F.concat(text, name, pick("any", "=", ":", ": ", " = ", " = \"", "=\"", "\": \"", " = '"))
+    user = F.concat(text, pick("scheme", "postgres", "https", "mysql", "amqp", "redis", "ftp"), F.lit("://"), pick("user", "admin", "root", "app", "jo.smith", ""), F.lit(":"))
+    host = F.concat(F.lit("@"), pick("host", "db.example.com/main", "10.0.0.5:5432/app", "localhost", "mail.org"), end)
 
     secret = [
         ("key id", text, F.concat(pick("aws", "AKIA", "ASIA"), F.substring(capital, 1, 16)), end),
         ("hex token", F.concat(text, name, quote), F.substring(hexes, 1, size), F.concat(F.lit('"'), end)),
-        ("hex password", text, tight(F.substring(hexes, 1, size)), end),
-        ("mixed password", text, tight(F.substring(base, 3, size)), end),
+        ("hex password", tight, F.substring(hexes, 1, size), end),
+        ("mixed password", tight, F.substring(base, 3, size), end),
         ("mixed token", F.concat(text, name, sign), F.substring(base, 7, F.lit(32)), end),
         ("prefixed", text, F.concat(pick("pre", "ghp_", "gho_", "sk-", "xoxb-", "glpat-", "AIza", "npm_"), F.substring(base, 5, F.lit(36))), end),
         ("signed token", F.concat(text, F.lit("Bearer ")), F.concat(F.lit("eyJ"), F.substring(base, 1, 30), F.lit(".eyJ"), F.substring(base, 20, 40)), end),
         ("uuid key", F.concat(text, name, sign), uuid, end),
+        ("short password", any_form, short, end),
+        ("worded password", any_form, worded, end),
+        ("phrase password", any_form, phrase, end),
+        ("short in url", user, short, host),
+        ("worded in url", user, worded, host),
     ]
     harmless = [
         ("hash", F.concat(text, pick("h", "commit ", "sha1 ", "md5 ", "checksum: ", "sha256: ", "revision ")), F.substring(hexes, 1, size), end),
@@ -186,8 +229,13 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFra
         ("path", F.concat(text, pick("p", "", "see ", "file ")), F.concat(pick("root", "https://www.", "/usr/lib/", "/home/", "src/"), pick("dir", "example.com/", "data/", "page/"), F.substring(hexes, 1, size), pick("ext", ".html", ".png", "/index", "")), end),
         ("word", text, F.concat(pick("w", "thingerheon", "RiverHouse", "main_config", "releaseNumber", "interestingly"), F.substring(digits, 1, 2)), end),
         ("setting", text, F.concat(plain, pick("s", "=", ":"), pick("v", "default12", "page2of10", "2024-01-15", "10:30:25", "localhost:8080")), end),
-        ("placeholder", text, F.concat(name, pick("t", "=", ":"), pick("ph", "your_password_1", "changeme123", "example1234", "<insert-here-1>", "xxxxxxxxxxxx1", "test12345678")), end),
+        ("placeholder", tight, F.concat(pick("ph", "your_password_1", "changeme123", "example1234", "<insert-here-1>", "xxxxxxxxxxxx1", "test12345678")), end),
         ("named word", text, F.concat(plain, F.lit("="), pick("nw", "interesting", "configuration", "documents")), end),
+        ("prose", F.concat(text, name, F.lit(": ")), pick("prose", "please", "required", "forgotten", "should", "managers", "invalid", "expired", "protected", "anything", "authentication", "optional", "whatever"), end),
+        ("said", any_form, pick("said", "is required here", "not given", "the one you know", "enter your own", "Please change it", "String", "string"), end),
+        ("reference", any_form, pick("reference", "${DB_PASSWORD}", "$PASSWORD", "process.env.TOKEN", "os.getenv(TOKEN)", "getpass()", "self.password", "config.secret", "{{ secret }}", "<password>", "<your-token>", "********", "xxxxxxxx", "%(password)s"), end),
+        ("default", any_form, pick("default", "changeme", "password", "example", "your_password", "default", "placeholder", "redacted", "[REDACTED]"), end),
+        ("no password in url", user, pick("nourl", "password", "pass", "<password>", "${DB_PASS}", "********", "changeme", "secret", "example"), host),
     ]
     kinds = [(*k, 1.0) for k in secret] + [(*k, 0.0) for k in harmless]
     structs = [
@@ -224,21 +272,26 @@ def redact(docs: DataFrame, model: PipelineModel, threshold: float = THRESHOLD)
     new text where there is such a column. Documents without a candidate never shuffle; the others
     meet the secrets found in equal texts."""
     key = F.xxhash64(F.coalesce("text", F.lit("")))
-    has = F.coalesce(F.col("text").rlike(CANDIDATE), F.lit(False))
+    has = F.coalesce(F.col("text").rlike(FOUND), F.lit(False))
     some = docs.filter(has)
     texts = some.select(F.struct(F.col("doc_id"), key.alias("key")).alias("doc_id"), "text")
     found = scan(texts, model, threshold).filter("secret")
-    # name= stays, the value goes; longer values first, so that none is cut by a shorter one
-    values = found.select("doc_id.*", core_of(F.col("value")).alias("value")).distinct()
-    lists = values.groupBy(F.col("doc_id").alias("s_id"), F.col("key").alias("s_key")).agg(
-        F.reverse(F.array_sort(F.collect_list(F.struct(F.char_length("value").alias("n"), "value")))).alias("s_values")
-    )
+    # name= stays, the value goes: by its place, last first, and long values wherever else they occur;
+    # longer values first, so that none is cut by a shorter one
+    core = core_of(F.col("value"))
+    place = (F.col("start") + F.char_length("value") - F.char_length(core)).alias("at")
+    values = found.select("doc_id.*", place, core.alias("value")).distinct()
+    each = F.struct("at", F.char_length("value").alias("n"), "value")
+    lists = values.groupBy(F.col("doc_id").alias("s_id"), F.col("key").alias("s_key")).agg(F.collect_list(each).alias("s_values"))
     joined = some.join(lists, F.col("doc_id").eqNullSafe(F.col("s_id")) & (key == F.col("s_key")), "left")
-    text = F.aggregate(
-        F.coalesce("s_values", F.array().cast("array<struct<n:int,value:string>>")),
+    every = F.coalesce("s_values", F.array().cast("array<struct<at:bigint,n:int,value:string>>"))
+    by_place = F.aggregate(
+        F.reverse(F.array_sort(every)),
         F.col("text"),
-        lambda t, v: F.replace(t, v["value"], F.lit(MASK)),
+        lambda t, v: F.overlay(t, F.lit(MASK), (v["at"] + 1).cast("int"), v["n"]),
     )
+    long = F.transform(F.filter(every, lambda v: v["n"] >= SHORT), lambda v: F.struct(v["n"].alias("n"), v["value"].alias("value")))
+    text = F.aggregate(F.reverse(F.array_sort(F.array_distinct(long))), by_place, lambda t, v: F.replace(t, v["value"], F.lit(MASK)))
     out = joined.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
     both = docs.filter(~has).unionByName(out)
     return both.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else both

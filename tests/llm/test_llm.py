@@ -239,6 +239,24 @@ def test_secrets(spark, docs, empty):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_secrets_of_any_form_behind_a_name(spark):
+    planted = [
+        ('password = "', "Tr0ub4dor&3", '"'), ("password: ", "hunter2", ""), ('pwd = "', "P@ssw0rd!2024", '"'),
+        ('password = "', "aB3$kL9#mN2!pQ7w", '"'), ('secret = "', "correct-horse-battery-staple", '"'),
+        ("DB_PASSWORD=", "aB3$kL9#mN2!pQ7w", ""), ("see postgres://admin:", "p@S$w0rd9", "@db.example.com:5432/main"),
+        ('{"token": "', "x7!kQ9#zz", '"}'),
+    ]
+    harmless = ["the password: please ask for it", "password = ${DB_PASSWORD}", "see https://www.example.com/page:80/index", "monkey: bananas are here"]
+    rows = [f"hunter2 said {a}{v}{b} and more" for a, v, b in planted] + harmless
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    model = secrets.train(secrets.labelled_findings(spark))
+    found = {(r.doc_id, r.start, r.value) for r in secrets.scan(df, model).filter("secret").collect()}
+    expected = {(k, rows[k].rindex(v), v) for k, (_, v, _) in enumerate(planted)}
+    assert found == expected
+    clean = {r.doc_id: r.text for r in secrets.redact(df, model).collect()}
+    assert clean == dict(enumerate([f"hunter2 said {a}[SECRET]{b} and more" for a, _, b in planted] + harmless))
+
+
 def test_packing(docs, empty):
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     got = packing.pack_documents(docs, vocabulary).toPandas()
