@@ -140,8 +140,11 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language can be told, all columns; the others (no letter, NULL) go."""
+    """The documents whose language can be told, all columns; the others (no letter, NULL) go. Where
+    no language could be learned, every text with a letter stays."""
     bounded_batches(docs.sparkSession)
     langs, matrix = learn(docs)
+    if not langs:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     found = prediction(docs.sparkSession, langs, matrix, F.col("text"))
     return docs.filter(found["lang_pred"] != UNKNOWN)

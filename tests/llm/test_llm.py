@@ -222,6 +222,15 @@ def test_language(spark, docs, empty):
     assert kept.count() == sum(any(c.isalpha() for c in r.text or "") for r in docs.select("text").collect())
 
 
+def test_language_stage_keeps_texts_when_nothing_is_learned(spark, docs):
+    held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 5 == 0)
+    one = spark.createDataFrame([(held, "the house of the king", "en")], "doc_id long, text string, lang string")
+    assert langid.keep_identified(one).count() == 1
+    kept = langid.keep_identified(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert kept.columns == docs.columns
+    assert kept.count() == sum(any(c.isalpha() for c in r.text or "") for r in docs.select("text").collect())
+
+
 def test_secrets(spark, docs, empty):
     model = secrets.train(secrets.labelled_findings(spark, 2000))
     found = {r.value: r for r in secrets.scan(docs, model).collect()}
