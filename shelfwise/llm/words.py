@@ -71,12 +71,20 @@ def split_words(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
+def _factors(place: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """An odd number for each place, from the table and beyond it from a hash of the whole place."""
+    out = odd[place & (len(odd) - 1)]
+    far = np.flatnonzero(place >= len(odd))
+    out[far] = mix64(place[far].astype(np.uint64)) | np.uint64(1)
+    return out
+
+
 def word_hashes(codes: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word; two of a million words share one with probability 3e-8."""
     lengths = np.diff(np.append(begins, len(codes)))
     odd = np.random.default_rng(97).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     place = np.arange(len(codes)) - np.repeat(begins, lengths)
-    value = (codes.astype(np.uint64) + np.uint64(1) + ((place >> 8).astype(np.uint64) << np.uint64(21))) * odd[place & 255]
+    value = (codes.astype(np.uint64) + np.uint64(1)) * _factors(place, odd)
     return mix64(np.add.reduceat(value, begins) + lengths.astype(np.uint64))
 
 
@@ -114,7 +122,7 @@ def runs_of(texts: list[str]) -> Runs:
     length = last - first + 1
     offset = np.cumsum(length) - length
     place = np.arange(len(at)) - np.repeat(offset, length)
-    value = (codes[at].astype(np.uint64) + (place >> 6).astype(np.uint64)) * odd[place & 63]
+    value = codes[at].astype(np.uint64) * _factors(place, odd)
     hashed = mix64(np.add.reduceat(value, offset))
     text = np.searchsorted(starts[1:], first, side="right")
     return Runs(codes, first, length, hashed, np.bincount(text, minlength=len(texts)), starts)

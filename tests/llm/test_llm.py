@@ -369,6 +369,16 @@ def test_words_are_split_as_by_the_pattern(texts):
     assert got == [w for t in texts for w in regex.findall(public_tokenizers.PATTERN, t)]
 
 
+def test_long_words_that_swap_characters_differ():
+    from shelfwise.llm.words import WordTable, runs_of
+
+    for apart, at in ((256, 10), (64, 3), (512, 0)):
+        first, second = (f"{'a' * k}b{'a' * (699 - k)}" for k in (at, at + apart))
+        assert len(set(runs_of([first, second]).hash.tolist())) == 2
+        ids, starts = WordTable(lambda words: [[ord(c) for c in w] for w in words]).encode([first, second])
+        assert [("".join(map(chr, ids[a:b]))) for a, b in zip(starts[:-1], starts[1:], strict=True)] == [first, second]
+
+
 def shingles(text):
     words = re.findall(r"[^\W_]+", (text or "").lower())
     return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
