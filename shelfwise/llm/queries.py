@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import ann, bpe, exact_dedup, langid, line_dedup, lm_score, ngram_join, packing, secrets, toxicity
+from shelfwise.llm import ann, bpe, exact_dedup, langid, line_dedup, lm_score, ngram_join, packing, secrets, toxicity, vector_dups
 from shelfwise.llm.common import bounded_batches, table
 
 QUERIES: dict = {}
@@ -122,3 +122,28 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_lm_score")
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(table(spark, sf_dir, "documents"))
+
+
+@register(
+    "op11_embedding_dedup",
+    """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND LEN(embedding) > 0 AND LEN(embedding) = LEN(LIST_FILTER(embedding, lambda e: ISFINITE(e)))
+    AND LEN(LIST_FILTER(embedding, lambda e: e <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND LEN(a.x) = LEN(b.x)
+  WHERE LIST_COSINE_SIMILARITY(a.x, b.x) >= 0.93),
+reach AS (
+  SELECT vec_id AS id, vec_id AS other FROM v
+  UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.other = l.a),
+heads AS (SELECT id, MIN(other) AS head FROM reach GROUP BY id),
+counts AS (SELECT a, COUNT(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, COALESCE(c.n, 0) AS n_links, COALESCE(h.head, e.vec_id) AS component_id,
+  COALESCE(h.head, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN heads h ON e.vec_id = h.id LEFT JOIN counts c ON e.vec_id = c.a
+""",
+)
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
+    return vector_dups.near_duplicates(rows)
