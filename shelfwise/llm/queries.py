@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import ann, bpe, exact_dedup, langid, line_dedup, lm_score, ngram_join, packing, secrets, toxicity, vector_dups
+from shelfwise.llm import ann, bpe, exact_dedup, langid, line_dedup, lm_score, ngram_join, packing, periodic, secrets, toxicity, vector_dups
 from shelfwise.llm.common import bounded_batches, table
 
 QUERIES: dict = {}
@@ -147,3 +147,40 @@ FROM embeddings e LEFT JOIN heads h ON e.vec_id = h.id LEFT JOIN counts c ON e.v
 def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
     return vector_dups.near_duplicates(rows)
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """Every tenth document, by h = crc32 of its id (a missing id as empty text), repeats its words
+    from word a on with period p; its words are then joined by one space. Other texts stay."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    some = docs.select("doc_id", "text", words.alias("words"), F.floor(h / 10).cast("int").alias("g"))
+    some = some.withColumn("n", F.greatest(F.size("words"), F.lit(0)))  # 0 where nothing is planted
+    some = some.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    some = some.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    tail = F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int"))
+    made = F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(F.flatten(tail), F.lit(1), F.col("n") - F.col("a")))
+    return some.select("doc_id", F.when(F.col("n") > 0, F.array_join(made, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def run_digests(found: DataFrame) -> DataFrame:
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    # the longest, then the first, then the one of the smallest period
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("l"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.s")).alias("start"),
+        F.col("best.l").alias("length"),
+        (-F.col("best.p")).alias("period"),
+        F.floor(1000 * F.col("best.l") / -F.col("best.p")).cast("long").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@register("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic.periodic_runs(with_planted_periods(table(spark, sf_dir, "documents"))))
