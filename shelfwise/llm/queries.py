@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import ann, bpe, exact_dedup, langid, line_dedup, lm_score, ngram_join, packing, periodic, secrets, toxicity, vector_dups
+from shelfwise.llm import ann, bpe, exact_dedup, langid, line_dedup, lm_score, ngram_join, packing, periodic, secrets, toxicity, vector_codes, vector_dups
 from shelfwise.llm.common import bounded_batches, table
 
 QUERIES: dict = {}
@@ -184,3 +184,50 @@ def run_digests(found: DataFrame) -> DataFrame:
 @register("op12_periodic_runs")
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic.periodic_runs(with_planted_periods(table(spark, sf_dir, "documents"))))
+
+
+def _code_sql(rounds: int = 6) -> str:
+    """The rounds written out: every part against every entry, floors in whole numbers."""
+    nearest = """
+SELECT q.vec_id, q.p, ANY_VALUE(q.x) AS x, MIN(q.d * 16 + q.k) % 16 AS k, MIN(q.d) AS d FROM (
+  SELECT a.vec_id, a.p, a.x, b.k,
+    CAST(LIST_SUM(LIST_TRANSFORM(LIST_ZIP(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+  FROM parts a JOIN {book} b ON a.p = b.p) q
+GROUP BY q.vec_id, q.p"""
+    steps = [
+        """WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, LIST_TRANSFORM(embedding, lambda x: CAST(FLOOR(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND LEN(LIST_FILTER(embedding, lambda x: ISFINITE(x))) = LEN(embedding)),
+parts AS MATERIALIZED (
+  SELECT vec_id, p, v[p * LEN(v) // 8 + 1 : (p + 1) * LEN(v) // 8] AS x FROM kept, (SELECT UNNEST(RANGE(8)) AS p) AS ps),
+book0 AS MATERIALIZED (
+  SELECT p, x, ROW_NUMBER() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k FROM parts
+  WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 16))"""
+    ]
+    for n in range(1, rounds + 1):
+        steps.append(
+            f"""near{n} AS MATERIALIZED ({nearest.format(book=f"book{n - 1}")}),
+flat{n} AS (SELECT p, k, UNNEST(x) AS x, UNNEST(RANGE(LEN(x))) AS i FROM near{n}),
+sums{n} AS (SELECT p, k, i, CAST(SUM(x) AS BIGINT) AS s, COUNT(*) AS n FROM flat{n} GROUP BY p, k, i),
+book{n} AS MATERIALIZED (
+  SELECT b.p, b.k, COALESCE(m.x, b.x) AS x FROM book{n - 1} b LEFT JOIN (
+    SELECT p, k, LIST((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM sums{n} GROUP BY p, k) m ON b.p = m.p AND b.k = m.k)"""
+        )
+    steps.append(f"near_last AS MATERIALIZED ({nearest.format(book=f'book{rounds}')})")
+    steps.append(
+        """coded AS (
+  SELECT vec_id, STRING_AGG(PRINTF('%02x', k), '' ORDER BY p) AS code, CAST(SUM(d) AS BIGINT) AS error FROM near_last GROUP BY vec_id)"""
+    )
+    return (
+        ",\n".join(steps)
+        + f"""
+SELECT c.vec_id, c.code, c.error, CAST(SUM(c.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error,
+  (SELECT SHA256(STRING_AGG(ARRAY_TO_STRING(x, ','), ',' ORDER BY p, k)) FROM book{rounds}) AS codebooks_sha256
+FROM coded c JOIN kept k ON c.vec_id = k.vec_id"""
+    )
+
+
+@register("op13_vector_codes", _code_sql())
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
+    return vector_codes.vector_codes(rows).drop("label")
