@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.ann import usable
-from shelfwise.llm.common import mix64, small
+from shelfwise.llm.common import bounded_batches, mix64, small
 from shelfwise.llm.graph import components
 from shelfwise.sources.scratch import stage
 
@@ -42,7 +42,9 @@ RECALL = 0.9995
 PROBES = 3
 CHOICES = 4  # nearest axes of a hash that probes may take
 DRAWN = 2000  # pairs on which a setting's recall is measured
-CHANCE = 0.25  # chance meetings of a class at most, as vectors without structure would have them
+# Chance meetings of a class at most, if buckets were even. They are not: a few axes of two turns lie
+# close, which makes about five times as many, measured on vectors without structure.
+CHANCE = 0.1
 CORE, CORE_PASSES = 64, 3
 BLOCK = 512
 CENTRE_BYTES = 64 << 20
@@ -176,14 +178,14 @@ def _angles(similarity: float):
             for _, part in frame.groupby("dim"):
                 cosine = np.einsum("ij,ij->i", _unit(_array(part["vector"])), _array(part["centre"]))
                 off = np.arccos(np.clip(cosine, -1, 1)) + MARGIN
-                yield part.assign(off=off)[["cls", "bucket", "copies", "off", "centre"]][off <= half]
+                yield part.assign(off=off)[["cls", "bucket", "copies", "off"]][off <= half]
 
     return run
 
 
 def cores(classes: DataFrame, sketches: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame] | None:
     """(cls, unit) of the classes in cores, and per core: unit, centre, radius, copies, members."""
-    members = None
+    members = every_centre = None
     for nth in range(CORE_PASSES):
         homes = sketches.filter(F.col("home") & (F.col("nth") == nth)).select("bucket", "cls")
         if members is not None:
@@ -196,20 +198,20 @@ def cores(classes: DataFrame, sketches: DataFrame, similarity: float) -> tuple[D
         sums = inside.select("bucket", "vector").mapInPandas(_sums, "bucket long, total array<double>")
         centres = stage(sums.groupBy("bucket").applyInPandas(_centre, "bucket long, centre array<double>"), "centres")
         longest = inside.agg(F.max("dim")).first()[0]
-        centres = F.broadcast(centres) if many * longest * 8 <= CENTRE_BYTES else centres
-        near = inside.join(centres, "bucket").mapInPandas(
-            _angles(similarity), "cls long, bucket long, copies long, off double, centre array<double>"
-        )
+        sent = F.broadcast(centres) if many * longest * 8 <= CENTRE_BYTES else centres
+        near = inside.join(sent, "bucket").mapInPandas(_angles(similarity), "cls long, bucket long, copies long, off double")
         near = stage(near.withColumn("nth", F.lit(nth)), "near")
+        centres = centres.withColumn("nth", F.lit(nth))
         members = near if members is None else members.unionByName(near)
+        every_centre = centres if every_centre is None else every_centre.unionByName(centres)
     if members is None:
         return None
     keys = ["nth", "bucket"]
     found = members.groupBy(*keys).agg(
         F.min("cls").alias("unit"), F.max("off").alias("radius"), F.sum("copies").alias("copies"),
-        F.count(F.lit(1)).alias("members"), F.any_value("centre").alias("centre"),
+        F.count(F.lit(1)).alias("members"),
     )
-    found = stage(found, "cores")
+    found = stage(found.join(every_centre, keys), "cores")
     names = stage(found.select(*keys, "unit"), "core-names")
     inside = members.select("cls", *keys).join(small(names, names.count()), keys).select("cls", "unit")
     return stage(inside, "core-members"), found.select("unit", "centre", "radius", "copies", "members")
@@ -323,6 +325,7 @@ def near_duplicates(rows: DataFrame, similarity: float = SIMILARITY, recall: flo
         F.when(good, F.col("label").cast("string")).alias("label"),
         F.when(good, F.transform("vector", lambda x: x.cast("double") + 0.0)).alias("vector"),
     )
+    bounded_batches(rows.sparkSession)
     plain = stage(plain, "vector-rows")
     classes = (
         plain.filter("label IS NOT NULL")
