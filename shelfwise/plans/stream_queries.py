@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.operators import history, learned
@@ -12,7 +12,7 @@ from shelfwise.plans.frames import Retail
 from shelfwise.plans.registry import query
 from shelfwise.sources import fixtures as fx
 from shelfwise.sources.scratch import scratch_dir, stage
-from shelfwise.streaming import calls, changes, refresh, runner
+from shelfwise.streaming import calls, changes, decisions, refresh, runner
 
 
 def call_stream(r: Retail) -> DataFrame:
@@ -28,6 +28,20 @@ def landed(r: Retail, df: DataFrame, name: str, key: str, files: int) -> DataFra
     return runner.stream_files(r.spark, path, df.schema, files_per_batch=1)
 
 
+def landed_in_turn(r: Retail, df: DataFrame, name: str, place: Column, files: int) -> DataFrame:
+    """Land a frame as `files` files one after the other, by equal ranges of a number, and stream
+    them in that order, one per micro-batch."""
+    path = scratch_dir(r.spark, name)
+    marked = df.withColumn("_place", place.cast("double"))
+    ends = marked.agg(F.min("_place").alias("low"), F.max("_place").alias("high")).first()
+    low, high = ends.low or 0.0, ends.high or 0.0
+    width = (high - low) / files or 1.0
+    nth = F.least(F.floor((F.col("_place") - low) / width), F.lit(files - 1))
+    for n in range(files):
+        marked.where(F.coalesce(nth, F.lit(0)) == n).drop("_place").coalesce(1).write.parquet(f"{path}/batch-{n:03d}")
+    return runner.stream_files(r.spark, f"{path}/batch-*", df.schema, files_per_batch=1)
+
+
 # a window is final once the newest call is ten minutes past its end
 _FINAL = "(SELECT MAX(request_time) FROM gateway_log) - INTERVAL 10 MINUTE"
 
@@ -47,6 +61,22 @@ def stream_rate_limit(r: Retail) -> DataFrame:
     return runner.append_to_table(calls.windows_over_limit(call_stream(r), 2, []), "rate-limit")
 
 
+@query("stream_rate_limit_decisions", "event_id:i requester:s window_start:t allowed:b",
+       """SELECT *, ROW_NUMBER() OVER (PARTITION BY requester, window_start ORDER BY request_time, event_id) <= 1 AS allowed
+FROM (SELECT *, date_trunc('hour', request_time) AS window_start FROM gateway_log) AS placed""")
+def stream_rate_limit_decisions(r: Retail) -> DataFrame:
+    """Every call, decided as it comes. Calls come up to nine minutes out of order, and every
+    eleventh comes again half an hour later."""
+    calls_made = r.gateway_log.select("event_id", F.col("request_time").cast("timestamp").alias("request_time"), "requester")
+    seconds = F.unix_seconds("request_time") + F.col("event_id") % 10 * 60
+    first = calls_made.withColumn("_arrival", seconds)
+    again = first.where(F.col("event_id") % 11 == 0).withColumn("_arrival", F.col("_arrival") + 1800)
+    both = first.unionByName(again)
+    feed = landed_in_turn(r, both, "calls", F.col("_arrival"), 4).drop("_arrival")
+    made = decisions.decisions(feed, 1, ["requester"], "hour", lateness="2 hours")
+    return decisions.decided(runner.append_to_table(made, "decisions"))
+
+
 @query("stream_changelog_apply", "id:i lsn:i change_ts:t change_type:s status:s",
        """SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY lsn DESC, sort_by DESC) AS rn
 FROM changelog WHERE change_type <> 'update_preimage') AS newest WHERE rn = 1 AND change_type <> 'delete'""")
