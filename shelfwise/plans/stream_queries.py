@@ -12,7 +12,7 @@ from shelfwise.plans.frames import Retail
 from shelfwise.plans.registry import query
 from shelfwise.sources import fixtures as fx
 from shelfwise.sources.scratch import scratch_dir, stage
-from shelfwise.streaming import calls, changes, decisions, refresh, runner
+from shelfwise.streaming import calls, changes, decisions, intervals, refresh, runner
 
 
 def call_stream(r: Retail) -> DataFrame:
@@ -91,12 +91,10 @@ def stream_changelog_apply(r: Retail) -> DataFrame:
     LEAD(change_ts) OVER (PARTITION BY id ORDER BY lsn, sort_by) AS valid_to
   FROM changelog WHERE change_type <> 'update_preimage') AS intervals WHERE change_type <> 'delete'""")
 def stream_changelog_history(r: Retail) -> DataFrame:
-    """Images are appended as they come; the intervals are read off that log."""
-    from shelfwise.operators import changelog
-
-    feed = landed(r, r.changelog, "changes", "lsn", 3)
-    log = runner.append_to_table(changelog.images(feed), "images")
-    return changelog.history(log, lsn_per_bucket=1_000)
+    """Changes come in no order; the stream keeps the intervals and corrects them."""
+    feed = landed_in_turn(r, r.changelog, "changes", F.pmod(F.xxhash64("lsn"), F.lit(3)), 3)
+    log = runner.append_to_table(intervals.interval_log(feed, lsn_per_bucket=1_000), "intervals")
+    return intervals.intervals(log)
 
 
 @query("stream_shortfall_refresh",
