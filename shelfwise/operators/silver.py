@@ -32,13 +32,18 @@ def note_flags(inventory: DataFrame, label=risk_label) -> DataFrame:
 
 
 def silver_inventory(
-    inventory: DataFrame, stores: DataFrame, products: DataFrame, flags: DataFrame | None = None
+    inventory: DataFrame,
+    stores: DataFrame,
+    products: DataFrame,
+    flags: DataFrame | None = None,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Inventory with dimensions and markdown risk.
 
     Without ``flags`` the rules score each row in place, with no join: a join on the note text
     would shuffle all inventory onto a handful of phrases. With ``flags`` (from a costly
-    classifier) the scores are joined in, and a note without a flag scores as healthy.
+    classifier) the scores are joined in, and a note without a flag scores as healthy. ``keep``
+    names more columns to carry along.
     """
     joined = inventory.join(stores, "store_id").join(products, "product_id")
     if flags is None:
@@ -51,6 +56,7 @@ def silver_inventory(
     return scored.select(
         "store_id", *STORE_COLUMNS, "product_id", *PRODUCT_COLUMNS, *PRICE_COLUMNS,
         "snapshot_date", "on_hand_units", "on_order_units", "merch_note_text", "markdown_risk_score",
+        *(keep or []),
     )
 
 

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.operators import history, learned
-from shelfwise.operators import position as pos
-from shelfwise.plans.action_queries import OPEN, WORST, at
+from shelfwise.operators import history, learned, silver
+from shelfwise.plans.action_queries import OPEN, WORST
 from shelfwise.plans.frames import Retail
 from shelfwise.plans.registry import query
 from shelfwise.sources import fixtures as fx
@@ -97,39 +96,65 @@ def stream_changelog_history(r: Retail) -> DataFrame:
     return intervals.intervals(log)
 
 
+def _day(r: Retail, date: str) -> Column:
+    """0 for the newest day and later, -1 and -2 for the days before, -2 for all older ones."""
+    return -F.least(F.greatest(F.datediff(r.newest, date), F.lit(0)), F.lit(2))
+
+
+def sales_by_day(r: Retail) -> DataFrame:
+    """Sales as a stream of three batches: all up to two days before the newest, then day by day."""
+    return landed_in_turn(r, r.sales, "sales", _day(r, "sale_date"), 3)
+
+
 @query("stream_shortfall_refresh",
        "store_id:i product_id:i on_hand_units:i recent_units_7d:i lost_sales_exposure_usd:2 position_status:s",
        f"SELECT * FROM positions WHERE {OPEN}")
 def stream_shortfall_refresh(r: Retail) -> DataFrame:
-    newest = r.sales.agg(F.max("sale_date")).first()[0]
-    since = F.date_sub(F.lit(newest), pos.WINDOW_DAYS)
-    feed = landed(r, r.sales, "sales", "sale_date", 3)
-    log = runner.upsert_log(refresh.running_sales(feed, since), "recent-sales")
-    snapshot = pos.current_snapshot(r.silver_inventory, r.newest)
-    return refresh.refreshed_position(snapshot, log).where(pos.is_open())
+    """The mirror after the last day."""
+    mirrors = refresh.keep_mirror(sales_by_day(r), r.silver_inventory, "mirror")
+    return mirrors.where(F.col("as_of") == mirrors.agg(F.max("as_of")).scalar())
+
+
+def _mirror(back: int) -> str:
+    return f"""SELECT CAST(snapshot_date AS DATE) AS as_of, store_id, product_id, on_hand_units, recent_units_7d,
+  lost_sales_exposure_usd, position_status FROM positions_{back}_day WHERE {OPEN}"""
+
+
+@query("stream_daily_mirror",
+       "as_of:d store_id:i product_id:i on_hand_units:i recent_units_7d:i lost_sales_exposure_usd:2 position_status:s",
+       " UNION ALL ".join(_mirror(back) for back in range(3)))
+def stream_daily_mirror(r: Retail) -> DataFrame:
+    """The mirrors after each of the last three days: sales leave the sums as days pass."""
+    return refresh.keep_mirror(sales_by_day(r), r.silver_inventory, "mirrors")
 
 
 def _scored(back: int) -> str:
     """The expected event of the snapshot ``back`` days before the newest."""
-    rows = f"FROM positions_{back}_back WHERE {OPEN}"
-    return f"""SELECT * FROM (SELECT snapshot_date AS scored_date, store_id, product_id,
-  (SELECT COUNT(*) {rows}) AS open_shortfall_count {rows} {WORST} LIMIT 1) AS worst_{back}"""
+    rows = f"FROM positions_{back}_day WHERE {OPEN}"
+    return f"""SELECT * FROM (SELECT snapshot_date AS scored_date, store_id, product_id, lost_sales_exposure_usd AS worst_exposure_usd,
+  (SELECT COUNT(*) {rows}) AS open_shortfall_count,
+  (SELECT SUM(lost_sales_exposure_usd) {rows}) AS open_exposure_usd {rows} {WORST} LIMIT 1) AS worst_{back}"""
 
 
-@query("stream_view_scored", "scored_date:d store_id:i product_id:i open_shortfall_count:i",
+@query("stream_view_scored",
+       "scored_date:d store_id:i product_id:i worst_exposure_usd:2 open_shortfall_count:i open_exposure_usd:2",
        " UNION ALL ".join(_scored(back) for back in range(3)))
 def stream_view_scored(r: Retail) -> DataFrame:
-    """One event per arrived snapshot date."""
-    feed = landed(r, r.inventory.select("snapshot_date").distinct(), "snapshots", "snapshot_date", 3)
-    recent = pos.recent_sales(r.silver_sales, as_of=r.newest)
-
-    def work(batch: DataFrame, batch_id: int, folder: str) -> None:
-        events = refresh.score_live_view(r.silver_inventory, recent, batch, batch_id, at())
-        events.write.mode("overwrite").parquet(folder)
-
-    path = runner.each_batch(feed, "view-scored", work, "append")
-    count = F.get_json_object("payload", "$.open_shortfall_count")
-    return r.spark.read.parquet(path).withColumn("open_shortfall_count", count)
+    """One event per whole snapshot; snapshots and sales come as two streams, a day at a time. Each
+    feed ends with a row of a later day for no store, as the next day's rows would say that the day
+    before is over."""
+
+    def feed(df: DataFrame, name: str, date: str) -> DataFrame:
+        # a key that no store has: a NULL would be filtered out before the watermark sees its date
+        marks = {date: F.date_add(r.newest, 9), "store_id": F.lit(-1), "product_id": F.lit(-1)}
+        later = [marks.get(c, F.lit(None)).cast(kind) for c, kind in df.dtypes]
+        ended = df.unionByName(df.limit(1).select(*[x.alias(c) for x, c in zip(later, df.columns, strict=True)]))
+        return landed_in_turn(r, ended, name, _day(r, date), 3)
+
+    snapshots = refresh.closing(feed(r.inventory, "snapshots", "snapshot_date"))
+    inventory = silver.silver_inventory(snapshots, r.stores, r.products, keep=["closes"])
+    events = refresh.scored_snapshots(inventory, feed(r.sales, "sales", "sale_date"))
+    return runner.append_to_table(events, "view-scored")
 
 
 @query("recovery_model",

@@ -1,40 +1,128 @@
-"""Gold as a stream: running sales sums for the mirror, and the scored view per snapshot."""
+"""Gold as a stream: daily sales sums for the mirror, and the scored view of each whole snapshot."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.operators import actions, position, queue
-from shelfwise.sources.scratch import stage
+from shelfwise.operators import position
+from shelfwise.streaming import runner
 
 KEY = ["store_id", "product_id"]
+DAY = "1 day"
 
 
-def running_sales(sales: DataFrame, since: Column) -> DataFrame:
-    """Units and sales per store and product after a date, as running state."""
+def _start_of(date: str) -> Column:
+    return F.col(date).cast("timestamp")
+
+
+# ---- the mirror: recent sales per key that expire by themselves
+
+
+def daily_sales(sales: DataFrame, lateness: str = f"{position.WINDOW_DAYS} days") -> DataFrame:
+    """Units and sales per store, product and day as running state, in update mode. Late sales
+    count as long as their day can still be in a window; older days leave the state, so that a
+    key without sales holds none."""
+    return (
+        sales.withColumn("day", _start_of("sale_date"))
+        .withWatermark("day", lateness)
+        .groupBy("day", *KEY)
+        .agg(F.sum("units_sold").alias("units"), F.sum("net_sales_usd").alias("net_sales"))
+        .select(*KEY, "units", "net_sales", F.col("day").cast("date").alias("sale_date"))
+    )
+
+
+def window_sums(log: DataFrame, days: int = position.WINDOW_DAYS) -> DataFrame:
+    """Recent sales per key from the log of daily sums (marked with batch_id): the newest sum of
+    each of the last days before the newest day in it. The files are sorted by day, so that scans skip
+    the row groups out of the window."""
+    since = F.date_sub(log.agg(F.max("sale_date")).scalar(), days)
+    newest = F.max_by(F.struct("units", "net_sales"), "batch_id").alias("s")
     return (
-        sales.where(F.col("sale_date") > since)
+        log.where(F.col("sale_date") > since)
+        .groupBy(*KEY, "sale_date")
+        .agg(newest)
         .groupBy(*KEY)
-        .agg(F.sum("units_sold").alias("recent_units_7d"), F.sum("net_sales_usd").alias("recent_net_sales_7d"))
+        .agg(F.sum("s.units").alias("recent_units_7d"), F.sum("s.net_sales").alias("recent_net_sales_7d"))
     )
 
 
-def refreshed_position(snapshot: DataFrame, log: DataFrame) -> DataFrame:
-    """The spine from a snapshot and the upsert log of the running sums."""
-    sums = F.struct("recent_units_7d", "recent_net_sales_7d")
-    recent = log.groupBy(*KEY).agg(F.max_by(sums, "batch_id").alias("s")).select(*KEY, "s.*")
-    joined = position.join_recent_sales(snapshot, recent)
-    return position.with_status(position.with_exposures(position.with_metrics(joined)))
+def refreshed_positions(inventory: DataFrame, log: DataFrame) -> DataFrame:
+    """The spine of the newest day in the log, with the newest snapshot up to it."""
+    day = log.agg(F.max("sale_date")).scalar()
+    up_to_day = inventory.where(F.col("snapshot_date") <= day)
+    joined = position.join_recent_sales(position.current_snapshot(up_to_day), window_sums(log))
+    spine = position.with_status(position.with_exposures(position.with_metrics(joined)))
+    return spine.withColumn("as_of", day)
+
+
+def keep_mirror(sales: DataFrame, inventory: DataFrame, name: str, every: str | None = None) -> DataFrame:
+    """Follow a stream of sales: after each micro-batch the open shortfalls of the newest day are
+    written anew. Returns the last mirror of each day (as_of)."""
+    spark = sales.sparkSession
+    daily = daily_sales(sales)
+
+    def work(batch: DataFrame, batch_id: int, folder: str) -> None:
+        root = folder.rsplit("/", 1)[0]
+        # sorted without a shuffle: the batch runs its state once
+        batch.sortWithinPartitions("sale_date").write.mode("overwrite").parquet(f"{root}/daily/batch_id={batch_id}")
+        log = spark.read.option("basePath", f"{root}/daily").schema(logged).parquet(f"{root}/daily")
+        # a batch that is run again must not see what came after it
+        seen = log.where(F.col("batch_id") <= batch_id)
+        if seen.where(F.col("batch_id") == batch_id).isEmpty():
+            return  # nothing but the watermark moved
+        mirror = refreshed_positions(inventory, seen).where(position.is_open())
+        mirror.write.mode("overwrite").parquet(f"{root}/mirror/batch_id={batch_id}")
 
+    logged = daily.schema.add("batch_id", "long")
+    path = runner.each_batch(daily, name, work, "update", every)
+    mirrors = spark.read.option("basePath", f"{path}/mirror").parquet(f"{path}/mirror")
+    newest = mirrors.groupBy("as_of").agg(F.max("batch_id").alias("batch_id"))
+    return mirrors.join(newest, ["as_of", "batch_id"])
 
-def score_live_view(
-    inventory: DataFrame, recent: DataFrame, arrived: DataFrame, batch_id: int, at: Column
-) -> DataFrame:
-    """The scored view as an event, over the whole snapshot of the newest date that arrived."""
-    newest = arrived.agg(F.max("snapshot_date")).scalar()
-    joined = position.join_recent_sales(position.current_snapshot(inventory, newest), recent)
+
+# ---- the scored view: snapshots and sales both as streams
+
+
+def scored_snapshots(inventory: DataFrame, sales: DataFrame, lateness: str = DAY) -> DataFrame:
+    """One row per whole snapshot: how many positions are open, their exposure, and the worst.
+
+    Both sides are streams. Sales become sums of the seven days up to each day; a snapshot's rows
+    meet the sums of their day, or none. A snapshot is whole once both watermarks have passed the
+    end of its day; then its row comes out, once. ``inventory`` has the columns of silver inventory
+    and, from before its joins, `closes` with its watermark (see closing())."""
+    days = f"{position.WINDOW_DAYS} days"
+    sums = (
+        sales.withColumn("day", _start_of("sale_date"))
+        .withWatermark("day", lateness)
+        .groupBy(F.window("day", days, DAY), *KEY)
+        .agg(F.sum("units_sold").alias("recent_units_7d"), F.sum("net_sales_usd").alias("recent_net_sales_7d"))
+        .select(F.window_time("window").alias("closes"), *KEY, "recent_units_7d", "recent_net_sales_7d")
+    )
+    joined = inventory.join(sums, [*KEY, "closes"], "left").withColumns(
+        {
+            "recent_units_7d": F.coalesce("recent_units_7d", F.lit(0).cast("bigint")),
+            "recent_net_sales_7d": F.coalesce("recent_net_sales_7d", F.lit(0)),
+        }
+    )
     scored = position.with_status(position.with_exposures(position.with_metrics(joined)))
-    live = stage(scored.where(position.is_open()), "live-view")  # read for the top rows and the count
-    source = "system" if batch_id == 0 else "schedule"
-    return actions.view_scored_events(queue.view_score(live), source, at).withColumn("scored_date", newest)
+    open_rows, lost = position.is_open(), F.col("lost_sales_exposure_usd")
+    worst = F.struct((-F.coalesce(lost, F.lit(0))).alias("minus"), *KEY)
+    return (
+        scored.groupBy("closes")
+        .agg(
+            F.min(F.when(open_rows, worst)).alias("worst"),
+            F.count_if(open_rows).alias("open_shortfall_count"),
+            F.sum(F.when(open_rows, lost)).alias("open_exposure_usd"),
+        )
+        .select(
+            F.col("closes").cast("date").alias("scored_date"), "worst.store_id", "worst.product_id",
+            (-F.col("worst.minus")).alias("worst_exposure_usd"), "open_shortfall_count", "open_exposure_usd",
+        )
+    )
+
+
+def closing(snapshots: DataFrame, lateness: str = DAY) -> DataFrame:
+    """Snapshot rows with `closes`, the last instant of their day, as event time."""
+    end = _start_of("snapshot_date") + F.expr("INTERVAL 1 DAY") - F.expr("INTERVAL 1 MICROSECOND")
+    return snapshots.withColumn("closes", end).withWatermark("closes", lateness)
