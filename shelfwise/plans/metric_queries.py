@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.operators import history, metrics, queue
+from shelfwise.operators import history, metrics, queue, rollup
 from shelfwise.operators import position as pos
 from shelfwise.plans.frames import Retail
 from shelfwise.plans.registry import query
+from shelfwise.sources.scratch import scratch_dir, stage
 
 ALL_MEASURES = list(metrics.MEASURES)
 MEASURE_SPEC = (
@@ -56,6 +57,29 @@ def metric_rollup(r: Retail) -> DataFrame:
     return metrics.from_rollup(metrics.rollup_base(r.position), ["region", "position_status"], ALL_MEASURES)
 
 
+@query("metric_rollup_deltas", f"climate_zone:s category:s {MEASURE_SPEC}",
+       f"SELECT climate_zone, category, {MEASURE_SQL} FROM positions GROUP BY climate_zone, category")
+def metric_rollup_deltas(r: Retail) -> DataFrame:
+    """The metric view from rollups that were made two days ago and have followed the changes since."""
+
+    def spine(back: int) -> DataFrame:
+        day = F.date_sub(r.newest, back)
+        sold = r.silver_sales.where(F.col("sale_date") <= day)
+        return stage(pos.store_sku_position(r.silver_inventory, sold, as_of=day, sales_as_of=day), "spine")
+
+    old = spine(2)
+    kept = [
+        rollup.Rollup(r.spark, scratch_dir(r.spark, "rollup"), tuple(dims)).start(old)
+        for dims in (metrics.ROLLUP_DIMENSIONS, ["climate_zone", "category", "region"])
+    ]
+    for batch, back in enumerate((1, 0), 1):
+        new = spine(back)
+        changes = stage(rollup.changes_between(old, new), "changes")
+        kept = [each.add(changes, batch) for each in kept]
+        old = new
+    return rollup.smallest(kept, ["climate_zone", "category"]).measure(["climate_zone", "category"], ALL_MEASURES)
+
+
 @query("metric_headline", "lost_sales_exposure:2 markdown_exposure:2",
        f"SELECT {MEASURE_SQL} FROM positions")
 def metric_headline(r: Retail) -> DataFrame:
