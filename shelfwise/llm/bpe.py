@@ -20,7 +20,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import blocks, worker_cache
-from shelfwise.llm.words import WordTable
+from shelfwise.llm.words import WordTable, listed
 
 SIDE_BY_SIDE = 64  # bytes; longer words have a tree of their own
 NONE = 1 << 30
@@ -33,7 +33,7 @@ class Ranks:
     def __init__(self, path: str):
         with open(path, "rb") as lines:
             self.rank = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
-        self.words = WordTable(self.encode_words)
+        self.words = WordTable(lambda words: listed(self.encode_words(words)))
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
         self.base = max(self.rank.values()) + 1
         known = self.rank

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import blocks, bounded_batches, worker_cache
-from shelfwise.llm.words import WordTable
+from shelfwise.llm.words import WordTable, listed
 from shelfwise.sources.scratch import stage
 
 WINDOW = 2048
@@ -44,15 +44,41 @@ class TextIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # a token of a byte-level vocabulary has one character for each byte
+        self.token_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.token_bytes[k] = len(token)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words = WordTable(self._words)
 
-    def _words(self, words: list[str]) -> list[list[int]]:
-        out: list[list[int]] = []
-        for first in range(0, len(words), 4_000):
-            got = self.tokenizer.encode_batch_fast(words[first : first + 4_000], add_special_tokens=False)
-            out += [x.ids for x in got]
-        return out
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of single words. Words that begin with a space are encoded as one text: it
+        splits into the same words, and the tokens' bytes tell where each ends."""
+        joins = np.fromiter((w[0] == " " and len(w) > 1 and not w[1].isspace() for w in words), bool, len(words))
+        made = [(np.zeros(0, np.int64), np.zeros(0, np.uint32))]
+        for nth, encode in ((np.flatnonzero(joins), self._joined), (np.flatnonzero(~joins), self._single)):
+            own = [words[k] for k in nth.tolist()]
+            made += [encode(own[first : first + 4_000]) for first in range(0, len(own), 4_000)]
+        size, flat = (np.concatenate(x) for x in zip(*made, strict=True))
+        # back from joined words first to the order they came in
+        order = np.argsort(np.concatenate([np.flatnonzero(joins), np.flatnonzero(~joins)]))
+        offset, size = (np.cumsum(size) - size)[order], size[order]
+        done = np.cumsum(size)
+        return size, flat[np.repeat(offset - (done - size), size) + np.arange(len(flat))]
+
+    def _single(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return listed([x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        text = "".join(words)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        sizes = map(len, words) if text.isascii() else (len(w.encode()) for w in words)
+        ends = np.cumsum(np.fromiter(sizes, np.int64, len(words)))
+        bytes_done = np.cumsum(self.token_bytes[ids])
+        cut = np.searchsorted(bytes_done, ends)
+        if cut[-1] + 1 != len(ids) or (bytes_done[cut] != ends).any():
+            return self._single(words)  # a token reaches over a word's end
+        return np.diff(cut, prepend=-1), ids
 
     def _whole(self, text: str) -> bool:
         return UNSURE.search(text) is not None or any(a in text for a in self.added)

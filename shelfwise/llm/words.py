@@ -128,25 +128,48 @@ def runs_of(texts: list[str]) -> Runs:
     return Runs(codes, first, length, hashed, np.bincount(text, minlength=len(texts)), starts)
 
 
-class WordTable:
-    """Ids of texts through the ids of their words, which are remembered up to CACHED_WORDS."""
-
-    def __init__(self, encode_words: Callable[[list[str]], list]):
-        self.encode_words = encode_words
-        self.forget()
+class _Known:
+    """Words and their ids: sorted keys with a slot each, the ids of all slots in one array."""
 
-    def forget(self) -> None:
-        self.slot: dict[int, int] = {}
+    def __init__(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.slot = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
         self.size = np.zeros(0, np.int64)
 
-    def _learn(self, keys: list[int], words: list[str]) -> None:
-        got = self.encode_words(words)
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(size.sum()))
-        self.slot.update(zip(keys, range(len(self.size), len(self.size) + len(keys)), strict=True))
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, -1 if it is not known."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.slot[at], -1)
+
+    def add(self, keys: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.slot = np.insert(self.slot, at, len(self.size) + order)
+        self.keys = np.insert(self.keys, at, keys[order])
         self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
 
+    def ids(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these slots one after another, and where each ends."""
+        size = self.size[slots]
+        offset = (np.cumsum(self.size) - self.size)[slots]
+        done = np.cumsum(size)
+        total = int(done[-1]) if len(done) else 0
+        return self.flat[np.repeat(offset - (done - size), size) + np.arange(total)], done
+
+
+class WordTable:
+    """Ids of texts through the ids of their words. Up to CACHED_WORDS are remembered, in two
+    generations: when the newer is full it becomes the older one, and words still in use go over.
+
+    encode_words gives the number of ids of each word, and all ids one after another."""
+
+    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        self.encode_words = encode_words
+        self.now, self.before = _Known(), _Known()
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the start of each text in them."""
         codes, starts = code_points(texts)
@@ -154,20 +177,30 @@ class WordTable:
         if not len(begins):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         which, keys = pd.factorize(word_hashes(codes, begins))
-        keys = keys.tolist()
-        if len(self.slot) + len(keys) > CACHED_WORDS:
-            self.forget()
-        known = self.slot
-        new = [k for k, key in enumerate(keys) if key not in known]
-        if new:
+        if len(self.now.keys) + len(keys) > CACHED_WORDS // 2:
+            self.now, self.before = _Known(), self.now
+        slots = self.now.find(keys)
+        missing = np.flatnonzero(slots < 0)
+        older = self.before.find(keys[missing])
+        again, new = missing[older >= 0], missing[older < 0]
+        if len(again):
+            own = older[older >= 0]
+            self.now.add(keys[again], self.before.size[own], self.before.ids(own)[0])
+        if len(new):
             sample = np.zeros(len(keys), np.int64)
             sample[which[::-1]] = np.arange(len(which))[::-1]
             stops = np.append(begins[1:], len(codes))
-            joined = "".join(texts)
-            self._learn([keys[k] for k in new], [joined[begins[j] : stops[j]] for j in sample[new]])
-        slot = np.array(list(map(self.slot.__getitem__, keys)), np.int64)[which]
-        size = self.size[slot]
-        offset = (np.cumsum(self.size) - self.size)[slot]
-        done = np.cumsum(size)
-        ids = self.flat[np.repeat(offset - (done - size), size) + np.arange(done[-1])]
+            joined, at = "".join(texts), sample[new]
+            spans = zip(begins[at].tolist(), stops[at].tolist(), strict=True)
+            size, flat = self.encode_words([joined[a:b] for a, b in spans])
+            self.now.add(keys[new], size, flat)
+        if len(missing):
+            slots = self.now.find(keys)
+        ids, done = self.now.ids(slots[which])
         return ids, np.append(0, done)[np.searchsorted(begins, starts)]
+
+
+def listed(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids as sizes and one array."""
+    size = np.fromiter(map(len, ids), np.int64, len(ids))
+    return size, np.fromiter((i for own in ids for i in own), np.uint32, int(size.sum()))

@@ -370,15 +370,27 @@ def test_words_are_split_as_by_the_pattern(texts):
 
 
 def test_long_words_that_swap_characters_differ():
-    from shelfwise.llm.words import WordTable, runs_of
+    from shelfwise.llm.words import WordTable, listed, runs_of
 
     for apart, at in ((256, 10), (64, 3), (512, 0)):
         first, second = (f"{'a' * k}b{'a' * (699 - k)}" for k in (at, at + apart))
         assert len(set(runs_of([first, second]).hash.tolist())) == 2
-        ids, starts = WordTable(lambda words: [[ord(c) for c in w] for w in words]).encode([first, second])
+        ids, starts = WordTable(lambda words: listed([[ord(c) for c in w] for w in words])).encode([first, second])
         assert [("".join(map(chr, ids[a:b]))) for a, b in zip(starts[:-1], starts[1:], strict=True)] == [first, second]
 
 
+def test_word_ids_stay_right_over_generations(monkeypatch):
+    from shelfwise.llm import words
+
+    monkeypatch.setattr(words, "CACHED_WORDS", 60)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, tokenizer = packing.TextIds(path), Tokenizer.from_file(path)
+    for k in range(12):
+        texts = [prose(k % 5, 30), "it's  we'll \n\tdon't x1 \u00e9t\u00e9", f" a{k}b ...!? {k}\r\n", " ", "", "a" * 700, "caf\u00e9 na\u00efve \u6f22"]
+        for text, ids in zip(texts, encoder.encode(texts), strict=True):
+            assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def shingles(text):
     words = re.findall(r"[^\W_]+", (text or "").lower())
     return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
