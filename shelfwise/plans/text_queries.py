@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import guard
 from shelfwise.functions.notes import classify_batch
-from shelfwise.operators import changelog, chat, gateway, search, silver, sketches
+from shelfwise.operators import changelog, chat, gateway, postings, search, silver, sketches
 from shelfwise.plans.frames import Retail
 from shelfwise.plans.registry import query
 from shelfwise.sources import fixtures as fx
-from shelfwise.sources.scratch import stage
+from shelfwise.sources.scratch import scratch_dir, stage
 
 # ---- product and note search
 
@@ -93,6 +93,37 @@ def bm25_score(r: Retail) -> DataFrame:
     return search.bm25(note_stats(r), TERMS).where(F.col("bm25") > 0)
 
 
+def note_index(r: Retail) -> postings.Index:
+    return postings.build(r.table("documents"), "doc_id", F.col("text"), scratch_dir(r.spark, "note-index"))
+
+
+@query("bm25_postings", "doc_id:i bm25:6", f"SELECT * FROM ({BM25}) AS scored_docs WHERE bm25 > 0")
+def bm25_postings(r: Retail) -> DataFrame:
+    """The scores of bm25_score from the postings of the query's terms."""
+    return postings.bm25(note_index(r), TERMS).withColumnRenamed("doc", "doc_id")
+
+
+@query("bm25_topk", "doc_id:i bm25:6",
+       f"SELECT * FROM ({BM25}) AS scored_docs WHERE bm25 > 0 ORDER BY ROUND(bm25, 9) DESC, doc_id LIMIT 20")
+def bm25_topk(r: Retail) -> DataFrame:
+    """The best twenty documents; blocks that cannot hold one are not read."""
+    return postings.bm25_topk(note_index(r), TERMS, 20).withColumnRenamed("doc", "doc_id")
+
+
+@query("fulltext_postings",
+       "product_id:i product_name:s category:s price_usd:2 on_hand_units:i rank:6",
+       _and_match(["cold", "ring", "weather"], "LIMIT 10"))
+def fulltext_postings(r: Retail) -> DataFrame:
+    """The products of fulltext_search from postings, from the rarest word on."""
+    catalog = stage(search.product_catalog(r.position), "catalog")
+    text = F.concat_ws(" ", "product_name", "description")
+    index = postings.build(catalog, "product_id", text, scratch_dir(r.spark, "product-index"))
+    found = postings.every_term(index, search.query_terms(PRODUCT_QUERY))
+    best = found.select(F.col("doc").alias("product_id"), (F.col("hits") / F.col("length")).alias("rank"))
+    best = best.orderBy(F.desc("rank"), "product_id").limit(10)
+    return catalog.join(F.broadcast(best), "product_id").withColumn("on_hand_units", F.coalesce("most_on_hand", F.lit(0)))
+
+
 COSINE = """list_cosine_similarity(CAST(embedding AS DOUBLE[]),
   (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0))"""
 
