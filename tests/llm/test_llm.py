@@ -164,11 +164,11 @@ def test_lm_trains_every_position_once(spark, monkeypatch):
         made = []  # one unit of learning per training target, so that the averages count them
 
         def count(w, seen, around, target):
-            w["cls_b"][0] += len(target)
-            w["cls_b"][1] += (around == lm_score.TOKENS).sum()
+            w["hidden_b"][0] += len(target)
+            w["hidden_b"][1] += (around == lm_score.TOKENS).sum()
 
         monkeypatch.setattr(lm_score, "step", count)
-        monkeypatch.setattr(lm_score, "_pack", lambda w: np.pad(w["cls_b"][:2], (0, lm_score.CHUNK - 2)).astype(np.float64))
+        monkeypatch.setattr(lm_score, "_pack", lambda w: np.pad(w["hidden_b"][:2], (0, lm_score.CHUNK - 2)).astype(np.float64))
         monkeypatch.setattr(lm_score, "_unpack", lambda flat, like: made.extend(flat[:2]))
         lm_score.train_round(tokens.coalesce(1), lm_score.start_weights(), nth)
         seen.append(made)
@@ -181,6 +181,48 @@ def test_lm_trains_every_position_once(spark, monkeypatch):
     assert min(share) > 0.3
 
 
+def plain_log_probability(w, around, target):
+    """One token, level by level, in plain numbers."""
+    x = np.concatenate([w["vector"][t] for t in around]).astype(np.float64)
+    h = np.tanh(x @ w["hidden"].astype(np.float64) + w["hidden_b"])
+    head, slot = (target, 0) if target < lm_score.TOKENS else (
+        lm_score.VOCABULARY + (target - lm_score.TOKENS - 1) % lm_score.OTHERS, (target - lm_score.TOKENS - 1) // lm_score.OTHERS + 1
+    )
+    path = [("cls", 0, head // 256), ("mid", head // 256, head // 16 % 16), ("leaf", head // 16, head % 16)]
+    if "slot" in w and head >= lm_score.VOCABULARY:
+        path.append(("slot", head - lm_score.VOCABULARY, slot))
+    total = 0.0
+    for name, group, goal in path:
+        z = h @ w[name][group].astype(np.float64) + w[f"{name}_b"][group]
+        total += z[goal] - np.log(np.exp(z).sum())
+    return total
+
+
+def test_lm_scores_one_document_as_plain_numbers_do():
+    draw = np.random.default_rng(3)
+    w = lm_score.start_weights(used=np.arange(lm_score.OTHERS) % 4)
+    tokens = np.concatenate([draw.integers(0, lm_score.TOKENS, 40), lm_score.TOKENS + 1 + np.array([1, 2, 3, 6, 7, 256 + 2, 256 + 7])])
+    draw.shuffle(tokens)
+    around = lm_score.neighbours(tokens, np.array([len(tokens)]))
+    padded = [lm_score.TOKENS] * 2 + tokens.tolist() + [lm_score.TOKENS] * 2
+    want = [plain_log_probability(w, [*padded[i : i + 2], *padded[i + 3 : i + 5]], t) for i, t in enumerate(tokens.tolist())]
+    assert np.allclose(lm_score.log_probabilities(w, around, tokens), want, atol=1e-5)
+    # gradients beside differences of the plain score
+    g = lm_score.gradients(w, around, tokens)
+    for name, at in (("hidden", (5, 3)), ("hidden_b", (7,)), ("cls", (0, 4, 2)), ("mid", (int(tokens.min()) // 256, 3, 1)), ("leaf", (int(tokens.min()) // 16, 2, 5))):
+        made = np.zeros_like(w[name], np.float64)
+        if isinstance(g[name], tuple):
+            made[g[name][0]] = g[name][1]
+        else:
+            made = g[name]
+        sums = []
+        for move in (1e-2, -1e-2):
+            moved = {k: v.astype(np.float64) for k, v in w.items()}
+            moved[name][at] += move
+            sums.append(-sum(plain_log_probability(moved, [*padded[i : i + 2], *padded[i + 3 : i + 5]], t) for i, t in enumerate(tokens.tolist())))
+        assert abs((sums[0] - sums[1]) / 2e-2 - made[at]) < 2e-3 * max(1, abs(made[at]))
+
+
 def test_lm_scores_words_not_buckets(spark, monkeypatch):
     from shelfwise.llm.words import runs_of
 
