@@ -300,12 +300,29 @@ def _checked(docs: DataFrame, members: DataFrame, similarity: float, words: int)
 
 
 def keep_one_of_similar(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
-    """One document of each group stays, the one with the least doc_id; all columns."""
+    """One document of each group stays, the one with the least doc_id; all columns, by any names.
+    Of rows equal in id and text one stays. Texts without words (NULL, empty) all stay."""
     found = similar_groups(docs, similarity, words)
     rest = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("class_key"))
     gone = stage(found.filter(~rest).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct(), "gone")
-    return docs.join(
-        small(gone, gone.count()),
-        F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (text_key(F.col("text")) == F.col("gone_key")),
-        "left_anti",
+    own = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+        F.col("doc_id").cast("long").alias("own_id"),
+        text_key(F.col("text")).alias("own_key"),
     )
+    same = lambda other: F.col("own_id").eqNullSafe(F.col(f"{other}_id")) & (F.col("own_key") == F.col(f"{other}_key"))
+    left = own.join(small(gone, gone.count()), same("gone"), "left_anti")
+    again = (
+        found.filter(rest & (F.col("group_size") > 1))
+        .groupBy(F.col("doc_id").alias("again_id"), F.col("text_key").alias("again_key"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter("n > 1")
+        .drop("n")
+    )
+    again = stage(again, "again")
+    repeated = again.count()
+    if not repeated:
+        return left.select("doc.*")
+    once = left.join(small(again, repeated), same("again"), "left_anti").select("doc")
+    several = left.join(small(again, repeated), same("again"), "left_semi").dropDuplicates(["own_id", "own_key"]).select("doc")
+    return once.unionByName(several).select("doc.*")

@@ -283,15 +283,19 @@ def redact(docs: DataFrame, model: PipelineModel, threshold: float = THRESHOLD)
     values = found.select("doc_id.*", place, core.alias("value")).distinct()
     each = F.struct("at", F.char_length("value").alias("n"), "value")
     lists = values.groupBy(F.col("doc_id").alias("s_id"), F.col("key").alias("s_key")).agg(F.collect_list(each).alias("s_values"))
-    joined = some.join(lists, F.col("doc_id").eqNullSafe(F.col("s_id")) & (key == F.col("s_key")), "left")
+    own = some.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+        F.col("doc_id").alias("own_id"), key.alias("own_key"), F.col("text").alias("own_text"),
+    )
+    joined = own.join(lists, F.col("own_id").eqNullSafe(F.col("s_id")) & (F.col("own_key") == F.col("s_key")), "left")
     every = F.coalesce("s_values", F.array().cast("array<struct<at:bigint,n:int,value:string>>"))
     by_place = F.aggregate(
         F.reverse(F.array_sort(every)),
-        F.col("text"),
+        F.col("own_text"),
         lambda t, v: F.overlay(t, F.lit(MASK), (v["at"] + 1).cast("int"), v["n"]),
     )
     long = F.transform(F.filter(every, lambda v: v["n"] >= SHORT), lambda v: F.struct(v["n"].alias("n"), v["value"].alias("value")))
     text = F.aggregate(F.reverse(F.array_sort(F.array_distinct(long))), by_place, lambda t, v: F.replace(t, v["value"], F.lit(MASK)))
-    out = joined.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = joined.select(*[text.alias(c) if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
     both = docs.filter(~has).unionByName(out)
     return both.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else both

@@ -474,6 +474,29 @@ def test_similar_groups(spark, docs, empty, monkeypatch):
     assert 1 - (1 - 0.8**height) ** bands >= 0.999 and bands * height <= 160
 
 
+def test_similar_stage_alone_keeps_one_row_of_repeats(spark):
+    base, other = prose(70, 60), prose(71, 60)
+    near = " ".join([*base.split()[:59], "changed"])
+    rows = [(1, base), (1, base), (2, near), (None, other), (None, other), (3, other), (4, ""), (4, ""), (5, None)]
+    clash = "doc_id long, text string, gone_id int, gone_key int, again_id int, own_id int, doc int, cls int"
+    df = spark.createDataFrame([(*r, 0, 1, 2, 3, 4, 5) for r in rows], clash).repartition(3)
+    left = ngram_join.keep_one_of_similar(df)
+    assert left.columns == df.columns
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=key) == sorted([(1, base), (3, other), (4, ""), (4, ""), (5, None)], key=key)
+
+
+def test_secret_stage_with_columns_named_like_its_own(spark):
+    model = secrets.train(secrets.labelled_findings(spark, 2000))
+    names = "doc_id long, text string, s_id int, s_key int, s_values int, own_text string, key string, value string, start int, doc int"
+    text = 'x token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" y'
+    df = spark.createDataFrame([(k, t, 1, 2, 3, "a", "b", "c", 4, 5) for k, t in ((1, text), (None, text), (2, "plain"), (3, None))], names)
+    got = secrets.redact(df, model)
+    assert got.columns == df.columns
+    assert sorted(str(r.text) for r in got.collect()) == ["None", "plain", 'x token = "[SECRET]" y', 'x token = "[SECRET]" y']
+    assert {(r.s_id, r.own_text, r.doc) for r in got.collect()} == {(1, "a", 5)}
+
+
 def test_pipeline(spark, docs, tmp_path):
     docs.drop("n", "kept").write.parquet(str(tmp_path / "documents.parquet"))
     rows = [(r.doc_id, r.text) for r in docs.collect() if any(c.isalpha() for c in r.text or "")]
