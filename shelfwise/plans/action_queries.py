@@ -13,7 +13,7 @@ from shelfwise.plans.frames import Retail
 from shelfwise.plans.registry import query
 from shelfwise.sources import fixtures as fx
 from shelfwise.sources import sinks, tables
-from shelfwise.sources.scratch import scratch_dir
+from shelfwise.sources.scratch import scratch_dir, stage
 
 AT = "2024-02-01 08:00:00"
 OPEN = "position_status IN ('stockout', 'at_risk')"
@@ -254,6 +254,29 @@ def sink_clustered(r: Retail) -> DataFrame:
     )
 
 
+_SOLD = {
+    "product": "product_id < 100",
+    "year": "sale_date >= DATE '1997-01-01' AND sale_date < DATE '1998-01-01'",
+    "both": "product_id BETWEEN 100 AND 300 AND sale_date >= DATE '1996-01-01' AND sale_date < DATE '1996-07-01'",
+}
+
+
+@query("sink_z_ordered", "filter:s row_count:i units:i",
+       " UNION ALL ".join(
+           f"SELECT '{n}' AS filter, COUNT(*) AS row_count, SUM(units_sold) AS units FROM silver_sales WHERE {w}"
+           for n, w in _SOLD.items()
+       ))
+def sink_z_ordered(r: Retail) -> DataFrame:
+    """Sales clustered by product and date together, read by either and by both."""
+    back = sinks.save_z_ordered(r.silver_sales, scratch_dir(r.spark, "sales-z"), ["product_id", "sale_date"])
+    out = None
+    for name, where in _SOLD.items():
+        found = back.where(where).agg(F.count(F.lit(1)).alias("row_count"), F.sum("units_sold").alias("units"))
+        found = found.withColumn("filter", F.lit(name))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query("param_table_query",
        "store_name:s city:s product_name:s on_hand:i avg_daily_velocity:2 lost_sales_exposure_usd:2",
        f"SELECT *, on_hand_units AS on_hand FROM positions WHERE {OPEN} {WORST} LIMIT 20")
@@ -275,6 +298,22 @@ def snapshot_replace(r: Retail) -> DataFrame:
     return sinks.snapshot(r.shortfalls, scratch_dir(r.spark, "shortfall-snapshot"), queue.KEY)
 
 
+@query("snapshot_versions", "store_id:i product_id:i lost_sales_exposure_usd:2 nearest_surplus_store_id:i",
+       "SELECT * FROM shortfalls")
+def snapshot_versions(r: Retail) -> DataFrame:
+    """A target that was replaced: first by the positions out of stock, then by all shortfalls. A
+    source whose key repeats fails and changes nothing."""
+    path = scratch_dir(r.spark, "shortfall-versions")
+    rows = stage(r.shortfalls, "shortfalls")
+    sinks.replace_version(rows.where(F.col("on_hand_units") == 0), path, queue.KEY)
+    sinks.replace_version(rows, path, queue.KEY)
+    try:
+        sinks.replace_version(rows.unionAll(rows), path, queue.KEY)
+    except ValueError:
+        pass
+    return sinks.read_current(r.spark, path)
+
+
 @query("mirror_insert_absent", "id:s store_id:i product_id:i on_hand_units:i snapshot_date:d origin:s",
        """SELECT CONCAT(store_id, ':', product_id) AS id, store_id, product_id, on_hand_units,
   (SELECT mx FROM newest_sale) AS snapshot_date, 'kept' AS origin FROM positions WHERE position_status <> 'healthy'
