@@ -24,8 +24,9 @@ def _number(col: Column) -> Column:
     return F.coalesce(col.cast("double"), F.lit(0.0))
 
 
-def training_rows(moves: DataFrame) -> DataFrame:
-    """Past moves with outcome, regions and the features known at move time."""
+def training_rows(moves: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Past moves with outcome, regions and the features known at move time; ``keep`` names more
+    columns to carry along."""
     margin = (F.col("price_usd") - F.col("product_cost_usd")) / F.nullif(F.col("price_usd"), F.lit(0))
     same = F.coalesce(F.col("from_region") == F.col("to_region"), F.lit(False))
     return moves.select(
@@ -39,14 +40,15 @@ def training_rows(moves: DataFrame) -> DataFrame:
         _number(margin).alias("margin_pct"),
         same.cast("double").alias("same_region"),
         _number(F.col(LABEL)).alias(LABEL),
+        *(keep or []),
     )
 
 
-def train(rows: DataFrame, trees: int = 10, depth: int = 5, seed: int = 7) -> PipelineModel:
+def train(rows: DataFrame, trees: int = 10, depth: int = 5, seed: int = 7, label: str = LABEL) -> PipelineModel:
     stages = [
         StringIndexer(inputCol="move_type", outputCol="move_index", stringOrderType="alphabetAsc"),
         VectorAssembler(inputCols=["move_index", *NUMERIC], outputCol="features"),
-        GBTRegressor(labelCol=LABEL, maxIter=trees, maxDepth=depth, seed=seed),
+        GBTRegressor(labelCol=label, maxIter=trees, maxDepth=depth, seed=seed),
     ]
     return Pipeline(stages=stages).fit(rows)
 
@@ -97,3 +99,29 @@ def score(model: PipelineModel, options: DataFrame) -> DataFrame:
         )
         .withColumn("move_rank", F.row_number().over(order))
     )
+
+
+# ---- judged on later moves
+
+
+def with_share(rows: DataFrame) -> DataFrame:
+    """The value that a move put at stake, and the share of it that came back."""
+    value = F.col("units_needed") * F.col("price_usd")
+    return rows.withColumn("value", value).withColumn("share", F.col(LABEL) / F.nullif(F.col("value"), F.lit(0.0)))
+
+
+def later_errors(rows: DataFrame, date: str, since: Column) -> DataFrame:
+    """Per move type, and over all (move_type NULL): moves after a date, their mean recaptured sales,
+    and the mean absolute error of a model and of plain rates, both learned from the moves up to that
+    date. The model learns the share of the value that comes back, so that large orders do not
+    outweigh all others; the rate is the mean share of the move type."""
+    known = with_share(rows).where(F.col("share").isNotNull())
+    past, later = known.where(F.col(date) <= since), known.where(F.col(date) > since)
+    rates = past.groupBy("move_type").agg(F.avg("share").alias("rate"))  # a row for each kind of move
+    model = train(past, trees=20, label="share")
+    judged = model.transform(later).join(F.broadcast(rates), "move_type")
+    error = lambda share: F.avg(F.abs(share * F.col("value") - F.col(LABEL)))
+    return judged.rollup("move_type").agg(
+        F.count(F.lit(1)).alias("moves"), F.avg(LABEL).alias("mean_usd"),
+        error(F.col("rate")).alias("rate_error"), error(F.col("prediction")).alias("model_error"),
+    )

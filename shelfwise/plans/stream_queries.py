@@ -164,3 +164,28 @@ def recovery_model(r: Retail) -> DataFrame:
     # every training pass reads the written rows, not the joins and windows behind them
     model = learned.train(stage(learned.training_rows(moves), "training-rows"))
     return learned.score(model, learned.candidates(r.recommended, r.products))
+
+
+_VALUE = "units_moved * CAST(price_usd AS DOUBLE)"
+_CUT = "(SELECT MAX(initiated_date) - 365 FROM transfer_outcomes)"
+
+
+@query("recovery_model_errors", "move_type:s moves:i mean_usd:2 rate_error:2 model_is_close:b model_is_better:b",
+       f"""SELECT move_type, COUNT(*) AS moves, AVG(recaptured_sales_usd) AS mean_usd,
+  AVG(ABS(rate * {_VALUE} - recaptured_sales_usd)) AS rate_error, TRUE AS model_is_close,
+  CASE WHEN move_type IS NULL THEN TRUE END AS model_is_better
+FROM transfer_outcomes JOIN (
+  SELECT move_type, AVG(recaptured_sales_usd / NULLIF({_VALUE}, 0)) AS rate FROM transfer_outcomes
+  WHERE initiated_date <= {_CUT} GROUP BY move_type) AS rates USING (move_type)
+WHERE initiated_date > {_CUT} GROUP BY ROLLUP (move_type)""")
+def recovery_model_errors(r: Retail) -> DataFrame:
+    """The model and the plain rates on the last year's moves, learned from those before. Close:
+    within 2 % of the mean of the rates' error, or better. Better is judged over all moves."""
+    moves = history.move_features(r.silver_transfers, fx.stock_history(r.sales), r.sales)
+    rows = stage(learned.training_rows(moves, ["initiated_date"]), "training-rows")
+    since = F.date_sub(rows.agg(F.max("initiated_date")).scalar(), 365)
+    found = learned.later_errors(rows, "initiated_date", since)
+    close = F.col("model_error") <= F.col("rate_error") + 0.02 * F.col("mean_usd")
+    return found.withColumn("model_is_close", close).withColumn(
+        "model_is_better", F.when(F.col("move_type").isNull(), F.col("model_error") < F.col("rate_error"))
+    )
