@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfwise.sources.scratch import stage
+
 KEY = ["store_id", "product_id"]
 ACTION_COLUMNS = [
     "id", *KEY, "move_type", "source_store_id", "units", "drafted_request", "predicted_recaptured_usd",
@@ -122,6 +124,34 @@ def transition(actions: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
+ACTION_PARTS = 64
+
+
+def action_part() -> Column:
+    """The folder of an action in a kept table: by its id, so that no store or day fills one."""
+    return F.pmod(F.xxhash64("id"), F.lit(ACTION_PARTS)).cast("int")
+
+
+def keep_actions(actions: DataFrame, path: str) -> None:
+    """Write the actions as a table that transition_in_place() can change."""
+    actions.withColumn("part", action_part()).write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def transition_in_place(spark: SparkSession, path: str, requests: DataFrame) -> None:
+    """transition() on a kept table: only the folders of the requested ids are read, and only those
+    in which a status changes are written again. The new rows are staged first, so a run that fails
+    before its commit leaves the table as it was, and one that runs again changes nothing more."""
+    asked = stage(requests, "requests")
+    parts = [r.part for r in asked.select(action_part().alias("part")).distinct().collect()]  # 64 at most
+    rows = spark.read.parquet(path).where(F.col("part").isin(parts))
+    new = stage(transition(rows, asked), "changed-actions")
+    changed = [r.part for r in new.where("changed").select("part").distinct().collect()]
+    if changed:
+        rewritten = new.where(F.col("part").isin(changed)).drop("changed")
+        rewritten = rewritten.repartition("part").select(*[c for c in rows.columns if c != "part"], "part")
+        rewritten.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+
+
 def recent_activity(actions: DataFrame, limit: int) -> DataFrame:
     at = F.coalesce("decided_at", "created_at")
     return (

@@ -99,6 +99,21 @@ def status_transition(r: Retail) -> DataFrame:
     return act.transition(r.actions, requests)
 
 
+@query("status_transition_in_place", "id:s status:s approved_by:s",
+       """SELECT id, CASE WHEN status = 'proposed' AND product_id % 5 = 0 THEN 'approved' ELSE status END AS status,
+  CASE WHEN status = 'proposed' AND product_id % 5 = 0 THEN 'ops_lead' ELSE approved_by END AS approved_by FROM actions""")
+def status_transition_in_place(r: Retail) -> DataFrame:
+    """A kept table of actions after requests for some of them, and the same requests again."""
+    path = scratch_dir(r.spark, "kept-actions")
+    act.keep_actions(r.actions, path)
+    requests = r.actions.where(F.col("product_id") % 5 == 0).select(
+        "id", F.lit("proposed").alias("expected"), F.lit("approved").alias("wanted"), F.lit("ops_lead").alias("by")
+    )
+    for _ in range(2):
+        act.transition_in_place(r.spark, path, requests)
+    return r.spark.read.parquet(path)
+
+
 def approvals(recommended: DataFrame) -> DataFrame:
     """Every recommendation approved by the manager of its store."""
     return recommended.select(
