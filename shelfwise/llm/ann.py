@@ -50,7 +50,8 @@ class Graph:
                 near = self._search(point, near, 1, k)
             for k in range(min(top, level[node]), -1, -1):
                 near = self._search(point, near, WIDTH_BUILD, k)
-                chosen = self._diverse(np.array([x for _, x in near]), np.array([d for d, _ in near]), LINKS)
+                whole = np.array([d for d, _ in near]) + self.norms[node]
+                chosen = self._diverse(np.array([x for _, x in near]), whole, LINKS)
                 self.links[k][node, : len(chosen)] = chosen
                 for other in chosen.tolist():
                     self._connect(other, node, k)
@@ -66,7 +67,6 @@ class Graph:
         if len(rows) <= most:
             return rows
         own = self.vectors[rows]
-        # all distances less the point's norm; pairs are brought to the same footing
         pair = self.norms[rows][:, None] - 2 * (own @ own.T) + self.norms[rows][None, :]
         apart = np.full(len(rows), np.inf, np.float32)
         chosen: list[int] = []

@@ -21,14 +21,22 @@ from shelfwise.sources.scratch import stage
 WINDOW = 3
 
 
+BLANKS = " \t\r"
+
+
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def bare(line: Column) -> Column:
+    """A line as it is compared: without spaces, tabs and carriage returns at its ends."""
+    return F.trim(line, F.lit(BLANKS))
+
+
 def windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """doc_id, key, at, upto, hash for every window of every document; upto is its last line."""
-    hashes = F.transform(lines_of(F.col("text")), lambda line: F.xxhash64(F.trim(line)))
-    blank = F.transform(lines_of(F.col("text")), lambda line: F.trim(line) == "")
+    hashes = F.transform(lines_of(F.col("text")), lambda line: F.xxhash64(bare(line)))
+    blank = F.transform(lines_of(F.col("text")), lambda line: bare(line) == "")
     rows = docs.filter("text <> ''").select("doc_id", text_key(F.col("text")).alias("key"), hashes.alias("h"), blank.alias("b"))
     count = F.greatest(F.size("h") - (size - 1), F.lit(1))
     made = F.transform(
@@ -73,15 +81,21 @@ def drop_repeated_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     )
     # the lists are as large as the lines they hold, so those are counted for the broadcast
     held = lists.agg(F.sum(F.size("g_at"))).first()[0] or 0
-    lines = F.coalesce(F.when(F.col("text") != "", F.size(lines_of(F.col("text")))), F.lit(0))
-    keyed = docs.join(
-        small(lists, held),
-        F.col("doc_id").eqNullSafe(F.col("g_id")) & (text_key(F.col("text")) == F.col("g_key")),
-        "left",
+    own = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+        F.col("doc_id").alias("own_id"), text_key(F.col("text")).alias("own_key"), F.col("text").alias("own_text"),
+    )
+    joined = own.join(
+        small(lists, held), F.col("own_id").eqNullSafe(F.col("g_id")) & (F.col("own_key") == F.col("g_key")), "left"
     )
-    count = lines.alias("lines")
-    removed = F.when(F.col("g_at").isNull(), F.lit(0)).otherwise(F.size("g_at"))
-    kept = F.array_join(F.filter(lines_of(F.col("text")), lambda line, at: ~F.array_contains("g_at", at)), "\n")
-    text = F.when(F.col("g_at").isNull(), F.col("text")).otherwise(kept)
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "lines", "removed_lines")]
-    return keyed.select(*others, text.alias("text"), count, removed.alias("removed_lines"))
+    lines, whole = lines_of(F.col("own_text")), F.col("own_text")
+    count = F.coalesce(F.when(whole != "", F.size(lines)), F.lit(0)).alias("lines")
+    removed = F.when(F.col("g_at").isNull(), F.lit(0)).otherwise(F.size("g_at")).alias("removed_lines")
+    # the places that stay, by one pass over the lines and one over those that go
+    stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("g_at"))
+    cut = F.array_join(F.transform(stay, lambda at: F.get(F.col("parts"), at)), "\n")
+    text = F.when(F.col("g_at").isNull(), whole).otherwise(cut).alias("text")
+    others = [F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in ("text", "lines", "removed_lines")]
+    parted = joined.withColumn("parts", F.when(F.col("g_at").isNotNull(), lines))
+    made = parted.select("doc", F.struct(text, count, removed).alias("made"))  # before any column of the documents has its name
+    return made.select(*others, "made.text", "made.lines", "made.removed_lines")

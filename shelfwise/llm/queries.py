@@ -79,8 +79,8 @@ WITH docs AS (
 lines AS (
   SELECT doc_id, text, UNNEST(parts) AS line, UNNEST(RANGE(LEN(parts))) AS pos, LEN(parts) AS n FROM docs),
 wide AS (
-  SELECT doc_id, text, pos, n, TRIM(line, ' ') AS a, LEAD(TRIM(line, ' ')) OVER w AS b, LEAD(TRIM(line, ' '), 2) OVER w AS c
-  FROM lines WINDOW w AS (PARTITION BY doc_id, text ORDER BY pos)),
+  SELECT doc_id, text, pos, n, bare AS a, LEAD(bare) OVER w AS b, LEAD(bare, 2) OVER w AS c
+  FROM (SELECT *, TRIM(line, ' ' || CHR(9) || CHR(13)) AS bare FROM lines) AS bared WINDOW w AS (PARTITION BY doc_id, text ORDER BY pos)),
 wins AS (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY a, b, c ORDER BY doc_id NULLS LAST, pos) AS nth
   FROM wide WHERE pos <= GREATEST(n - 3, 0) AND CONCAT(a, b, c) <> ''),

@@ -110,6 +110,25 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_nearest_over_shards_of_tight_clusters(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    centres = draw.standard_normal((30, 16)) * 3
+    vectors = (centres[np.arange(1500) % 30] + 0.01 * draw.standard_normal((1500, 16))).round(6)
+    rows = [(k, v.tolist(), "x", k) for k, v in enumerate(vectors)]
+    rows += [(2000, [float("inf")] * 16, "x", 0), (2001, [1.0] * 5, "x", 0), (2002, [1.0, 2.0, 3.0, 4.0, 6.0], "x", 0)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<double>, ids string, shard int")
+    monkeypatch.setattr(ann, "SHARD_ROWS", 256)
+    monkeypatch.setattr(ann.build_index, "__defaults__", (256,))
+    got = ann.nearest(df, df.filter("vec_id % 25 = 0 or vec_id > 1999"), 10, width=40).toPandas()
+    hits = 0
+    for q in range(0, 1500, 25):
+        d = np.sqrt(((vectors - vectors[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        hits += len(set(np.lexsort((np.arange(1500), d))[:10]) & set(got[got.query_id == q].vec_id))
+    assert hits / 600 >= 0.99
+    assert got[got.query_id == 2001].vec_id.tolist() == [2002] and 2000 not in set(got.query_id)
+
+
 def test_toxicity_learns_words_and_stems(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "EPOCHS", 3)
     rows, labels = [], []
@@ -350,7 +369,7 @@ def plain_line_dedup(rows, size=3):
     seen, out = {}, {}
     for doc_id, text in sorted({r for r in rows if r[1]}, key=lambda r: (r[0] is None, r[0])):
         lines = text.split("\n")
-        keys = [x.strip(" ") for x in lines]
+        keys = [x.strip(" \t\r") for x in lines]
         gone = set()
         for a in range(max(1, len(lines) - size + 1)):
             window = tuple(keys[a : a + size])
@@ -372,6 +391,15 @@ def test_line_dedup(docs, empty):
     assert line_dedup.drop_repeated_lines(empty).count() == 0
 
 
+def test_line_dedup_of_blanks_at_line_ends_and_clashing_names(spark):
+    lines = [f"{prose(k, 6)}" for k in range(30, 34)]
+    texts = ["\n".join(lines), "top\n" + "\r\n".join(lines) + "\r", "x\n" + "\n".join(f"\t{x} " for x in lines) + "\nend"]
+    names = "doc_id long, text string, g_id int, g_key int, g_at int, own_text int, doc int, parts int, lines string, key int, at int"
+    df = spark.createDataFrame([(k, t, 1, 2, 3, 4, 5, 6, "old", 7, 8) for k, t in enumerate(texts)], names).repartition(2)
+    got = {r.doc_id: (r.text, r.removed_lines, r.g_at) for r in line_dedup.drop_repeated_lines(df).collect()}
+    assert got == {0: (texts[0], 0, 3), 1: ("top", 4, 3), 2: ("x\nend", 4, 3)}
+
+
 @pytest.fixture(scope="module")
 def ranks():
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
