@@ -96,19 +96,26 @@ def _asked_days(moves: DataFrame, store: str) -> DataFrame:
     )
 
 
-def move_features(moves: DataFrame, stock: DataFrame, sales: DataFrame, days: int = 7) -> DataFrame:
+def _timeline(rows: DataFrame, tasks: int | None) -> DataFrame:
+    """Rows dealt by store and product only: sums per day and ordered windows need no further shuffle."""
+    return rows.repartition(tasks, *KEY) if tasks else rows.repartition(*KEY)
+
+
+def move_features(
+    moves: DataFrame, stock: DataFrame, sales: DataFrame, days: int = 7, tasks: int | None = None
+) -> DataFrame:
     """Moves with what was known on their day: the last stock count of the source up to that day,
     and the units sold per day at the destination over the ``days`` before it.
 
     Each feature is read off a timeline of asked days and facts, summed to one row per store,
     product and day before the ordered window. So even a hot pair has at most one row per
-    calendar day there, and no range join is needed. The features then join back to the moves.
+    calendar day there, and no range join is needed. The features then join back to the moves. A
+    timeline is shuffled once, in so many tasks or as Spark deals it.
     """
     by_day = Window.partitionBy(*KEY).orderBy("_day")
     counts = stock.select(*KEY, F.col("snapshot_date").alias("day"), "on_hand_units")
     known_stock = (
-        _asked_days(moves, "from_store_id")
-        .unionByName(counts, allowMissingColumns=True)
+        _timeline(_asked_days(moves, "from_store_id").unionByName(counts, allowMissingColumns=True), tasks)
         .groupBy(*KEY, "day")
         .agg(F.max("asked").alias("asked"), F.max("on_hand_units").alias("on_hand"))
         .withColumn("_day", F.unix_date("day"))
@@ -124,8 +131,7 @@ def move_features(moves: DataFrame, stock: DataFrame, sales: DataFrame, days: in
     )
     sold = sales.select(*KEY, F.col("sale_date").alias("day"), "units_sold")
     known_sales = (
-        _asked_days(moves, "to_store_id")
-        .unionByName(sold, allowMissingColumns=True)
+        _timeline(_asked_days(moves, "to_store_id").unionByName(sold, allowMissingColumns=True), tasks)
         .groupBy(*KEY, "day")
         .agg(F.max("asked").alias("asked"), F.sum("units_sold").alias("units"))
         .withColumn("_day", F.unix_date("day"))

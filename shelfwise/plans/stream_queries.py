@@ -20,25 +20,24 @@ def call_stream(r: Retail) -> DataFrame:
     return fx.call_log_columns(events.withColumn("ts", F.col("ts").cast("timestamp")))
 
 
-def landed(r: Retail, df: DataFrame, name: str, key: str, files: int) -> DataFrame:
-    """Land a frame as files in ranges of a key and stream them in, one file per micro-batch."""
+def landed_in_turn(r: Retail, df: DataFrame, name: str, turn: Column, turns: int) -> list[DataFrame]:
+    """Land a frame in one pass, a folder for each turn (from 0; NULL: 0) and in it as many files as
+    Spark has tasks. Streams of the first folder, the first two and so on: run one after the other
+    from the same checkpoint, each finds the rows of its turn."""
     path = scratch_dir(r.spark, name)
-    df.repartitionByRange(files, key).write.parquet(path)
-    return runner.stream_files(r.spark, path, df.schema, files_per_batch=1)
+    nth = F.greatest(F.lit(0), F.least(F.coalesce(turn, F.lit(0)), F.lit(turns - 1))).cast("int")
+    df.limit(0).write.parquet(f"{path}/turn=0")  # a folder that is there without rows, too
+    df.withColumn("turn", nth).write.mode("append").partitionBy("turn").parquet(path)
+    past = [",".join(map(str, range(n + 1))) for n in range(turns)]
+    return [runner.stream_files(r.spark, f"{path}/turn={{{some}}}", df.schema) for some in past]
 
 
-def landed_in_turn(r: Retail, df: DataFrame, name: str, place: Column, files: int) -> DataFrame:
-    """Land a frame as `files` files one after the other, by equal ranges of a number, and stream
-    them in that order, one per micro-batch."""
-    path = scratch_dir(r.spark, name)
-    marked = df.withColumn("_place", place.cast("double"))
-    ends = marked.agg(F.min("_place").alias("low"), F.max("_place").alias("high")).first()
+def by_range(df: DataFrame, place: Column, turns: int) -> Column:
+    """The turn of a row, by equal ranges of a number."""
+    ends = df.select(place.cast("double").alias("p")).agg(F.min("p").alias("low"), F.max("p").alias("high")).first()
     low, high = ends.low or 0.0, ends.high or 0.0
-    width = (high - low) / files or 1.0
-    nth = F.least(F.floor((F.col("_place") - low) / width), F.lit(files - 1))
-    for n in range(files):
-        marked.where(F.coalesce(nth, F.lit(0)) == n).drop("_place").coalesce(1).write.parquet(f"{path}/batch-{n:03d}")
-    return runner.stream_files(r.spark, f"{path}/batch-*", df.schema, files_per_batch=1)
+    width = (high - low) / turns or 1.0
+    return F.floor((place.cast("double") - low) / width)
 
 
 # a window is final once the newest call is ten minutes past its end
@@ -71,8 +70,8 @@ def stream_rate_limit_decisions(r: Retail) -> DataFrame:
     first = calls_made.withColumn("_arrival", seconds)
     again = first.where(F.col("event_id") % 11 == 0).withColumn("_arrival", F.col("_arrival") + 1800)
     both = first.unionByName(again)
-    feed = landed_in_turn(r, both, "calls", F.col("_arrival"), 4).drop("_arrival")
-    made = decisions.decisions(feed, 1, ["requester"], "hour", lateness="2 hours")
+    feeds = landed_in_turn(r, both, "calls", by_range(both, F.col("_arrival"), 4), 4)
+    made = [decisions.decisions(feed.drop("_arrival"), 1, ["requester"], "hour", lateness="2 hours") for feed in feeds]
     return decisions.decided(runner.append_to_table(made, "decisions"))
 
 
@@ -80,8 +79,8 @@ def stream_rate_limit_decisions(r: Retail) -> DataFrame:
        """SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY lsn DESC, sort_by DESC) AS rn
 FROM changelog WHERE change_type <> 'update_preimage') AS newest WHERE rn = 1 AND change_type <> 'delete'""")
 def stream_changelog_apply(r: Retail) -> DataFrame:
-    feed = landed(r, r.changelog, "changes", "lsn", 3)
-    return changes.current_rows(runner.upsert_log(changes.newest_images(feed), "current"))
+    feeds = landed_in_turn(r, r.changelog, "changes", by_range(r.changelog, F.col("lsn"), 3), 3)
+    return changes.current_rows(runner.upsert_log([changes.newest_images(feed) for feed in feeds], "current"))
 
 
 @query("stream_changelog_history", "id:i lsn:i status:s valid_from:t valid_to:t is_current:b",
@@ -91,19 +90,19 @@ def stream_changelog_apply(r: Retail) -> DataFrame:
   FROM changelog WHERE change_type <> 'update_preimage') AS intervals WHERE change_type <> 'delete'""")
 def stream_changelog_history(r: Retail) -> DataFrame:
     """Changes come in no order; the stream keeps the intervals and corrects them."""
-    feed = landed_in_turn(r, r.changelog, "changes", F.pmod(F.xxhash64("lsn"), F.lit(3)), 3)
-    log = runner.append_to_table(intervals.interval_log(feed, lsn_per_bucket=1_000), "intervals")
+    feeds = landed_in_turn(r, r.changelog, "changes", F.pmod(F.xxhash64("lsn"), F.lit(3)), 3)
+    log = runner.append_to_table([intervals.interval_log(feed, lsn_per_bucket=1_000) for feed in feeds], "intervals")
     return intervals.intervals(log)
 
 
-def _day(r: Retail, date: str) -> Column:
-    """0 for the newest day and later, -1 and -2 for the days before, -2 for all older ones."""
-    return -F.least(F.greatest(F.datediff(r.newest, date), F.lit(0)), F.lit(2))
+def _turn(r: Retail, date: str) -> Column:
+    """2 for the newest day and later, 1 and 0 for the days before, 0 for all older ones."""
+    return 2 - F.least(F.greatest(F.datediff(r.newest, date), F.lit(0)), F.lit(2))
 
 
-def sales_by_day(r: Retail) -> DataFrame:
-    """Sales as a stream of three batches: all up to two days before the newest, then day by day."""
-    return landed_in_turn(r, r.sales, "sales", _day(r, "sale_date"), 3)
+def sales_by_day(r: Retail) -> list[DataFrame]:
+    """Sales as streams of three turns: all up to two days before the newest, then day by day."""
+    return landed_in_turn(r, r.sales, "sales", _turn(r, "sale_date"), 3)
 
 
 @query("stream_shortfall_refresh",
@@ -144,23 +143,25 @@ def stream_view_scored(r: Retail) -> DataFrame:
     feed ends with a row of a later day for no store, as the next day's rows would say that the day
     before is over."""
 
-    def feed(df: DataFrame, name: str, date: str) -> DataFrame:
+    def feeds(df: DataFrame, name: str, date: str) -> list[DataFrame]:
         # a key that no store has: a NULL would be filtered out before the watermark sees its date
         marks = {date: F.date_add(r.newest, 9), "store_id": F.lit(-1), "product_id": F.lit(-1)}
         later = [marks.get(c, F.lit(None)).cast(kind) for c, kind in df.dtypes]
         ended = df.unionByName(df.limit(1).select(*[x.alias(c) for x, c in zip(later, df.columns, strict=True)]))
-        return landed_in_turn(r, ended, name, _day(r, date), 3)
+        return landed_in_turn(r, ended, name, _turn(r, date), 3)
 
-    snapshots = refresh.closing(feed(r.inventory, "snapshots", "snapshot_date"))
-    inventory = silver.silver_inventory(snapshots, r.stores, r.products, keep=["closes"])
-    events = refresh.scored_snapshots(inventory, feed(r.sales, "sales", "sale_date"))
+    first = r.inventory.agg(F.min("snapshot_date")).first()[0]
+    events = []
+    for snapshots, sales in zip(feeds(r.inventory, "snapshots", "snapshot_date"), feeds(r.sales, "sales", "sale_date"), strict=True):
+        inventory = silver.silver_inventory(refresh.closing(snapshots), r.stores, r.products, keep=["closes"])
+        events.append(refresh.scored_snapshots(inventory, sales, since=F.lit(first)))
     return runner.append_to_table(events, "view-scored")
 
 
 @query("recovery_model",
        "store_id:i product_id:i move_type:s predicted_recaptured_usd:2 predicted_net_value_usd:2 move_rank:i")
 def recovery_model(r: Retail) -> DataFrame:
-    moves = history.move_features(r.silver_transfers, fx.stock_history(r.sales), r.sales)
+    moves = history.move_features(r.silver_transfers, fx.stock_history(r.sales), r.sales, tasks=fx.sale_tasks(r.spark, r.sf_dir))
     # every training pass reads the written rows, not the joins and windows behind them
     model = learned.train(stage(learned.training_rows(moves), "training-rows"))
     return learned.score(model, learned.candidates(r.recommended, r.products))
@@ -181,7 +182,7 @@ WHERE initiated_date > {_CUT} GROUP BY ROLLUP (move_type)""")
 def recovery_model_errors(r: Retail) -> DataFrame:
     """The model and the plain rates on the last year's moves, learned from those before. Close:
     within 2 % of the mean of the rates' error, or better. Better is judged over all moves."""
-    moves = history.move_features(r.silver_transfers, fx.stock_history(r.sales), r.sales)
+    moves = history.move_features(r.silver_transfers, fx.stock_history(r.sales), r.sales, tasks=fx.sale_tasks(r.spark, r.sf_dir))
     rows = stage(learned.training_rows(moves, ["initiated_date"]), "training-rows")
     since = F.date_sub(rows.agg(F.max("initiated_date")).scalar(), 365)
     found = learned.later_errors(rows, "initiated_date", since)

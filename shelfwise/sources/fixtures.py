@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from shelfwise.sources.tables import broadcast_within
+from shelfwise.sources.tables import broadcast_within, dealt, tasks_for
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -37,6 +37,11 @@ def rows(spark: SparkSession, sf_dir: str, name: str) -> int:
     return _row_counts[path]
 
 
+def sale_tasks(spark: SparkSession, sf_dir: str) -> int | None:
+    """Tasks for a shuffle that moves a row for each sale."""
+    return tasks_for(spark, rows(spark, sf_dir, "lineitem"))
+
+
 def _pick(index: Column, *values: str) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
@@ -97,7 +102,8 @@ def newest_ship_date(spark: SparkSession, sf_dir: str) -> Column:
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three daily snapshots of every store and product that ever sold."""
-    pairs = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    sold = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")
+    pairs = dealt(sold, sale_tasks(spark, sf_dir), "l_suppkey", "l_partkey").distinct()
     mix = F.col("l_suppkey") * 7 + F.col("l_partkey") * 13
     h, hh, g = F.col("h"), F.col("hh"), F.col("g")
     on_hand = (

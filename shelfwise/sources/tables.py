@@ -9,6 +9,9 @@ from pyspark.sql import types as T
 # A dimension is broadcast only up to this many rows; above it the join shuffles.
 BROADCAST_ROWS = 200_000
 
+# Above this many rows for each core, a shuffle gets more tasks than Spark's own number.
+ROWS_PER_TASK = 1_000_000
+
 NUMERIC_TEXT = r"^-?\d+(\.\d+)?$"
 
 MOVE_RANKING = "array<struct<move:string,recaptured:double,net:double,cost:double>>"
@@ -46,6 +49,18 @@ def broadcast_within(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> D
     return F.broadcast(df) if rows <= limit else df
 
 
+def tasks_for(spark: SparkSession, rows: int) -> int | None:
+    """Tasks of ROWS_PER_TASK rows; None while Spark's own number, at least one for each core, will do."""
+    wanted = -(-rows // ROWS_PER_TASK)
+    return wanted if wanted > spark.sparkContext.defaultParallelism else None
+
+
+def dealt(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """The rows by key in so many tasks. The number of shuffle partitions is fixed for a session, so that
+    without this the memory of a task grows with the table."""
+    return df.repartition(tasks, *keys) if tasks else df
+
+
 def parse_move_ranking(text: Column) -> Column:
     """JSON text to an array of moves; bad JSON, a non-array and NULL become an empty array."""
     empty = F.array().cast(MOVE_RANKING)

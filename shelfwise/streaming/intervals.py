@@ -1,18 +1,19 @@
 """History kept by the stream: validity intervals from a change feed, in whatever order it comes.
 
-State holds, per id and bucket of log positions, the positions and times of the images that came, so a
-key's state is bounded by the width of a bucket however often an id changes. An image that comes late
-splits the interval it falls into: it is written with its own end, and a correction gives the
-image before it the new one. The log of images and corrections is the history; intervals() folds it,
-the newest revision of an image's end being the one that holds. The end of a bucket's last image is the
-head of the id's next bucket. An image that is delivered again is ignored.
+State holds, per bucket of log positions and shard of ids, the ids, positions and times of the images that
+came, so it is bounded by the width of a bucket however often an id changes. A shard stands for about
+SHARD_POSITIONS positions of a bucket: a group for each id would spend nearly all its time on the way to Python and
+back. An image that comes late splits the interval it falls into: it is written with its own end, and a
+correction gives the image before it the new one. The log of images and corrections is the history;
+intervals() folds it, the newest revision of an image's end being the one that holds. The end of a bucket's
+last image is the head of the id's next bucket. An image that is delivered again is ignored.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,45 +21,42 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shelfwise.operators.changelog import LSN_PER_BUCKET, images
 
-STATE = "lsn array<long>, sort_by array<long>, micros array<long>, revision long"
 KEY = ["id", "bucket", "lsn", "sort_by"]
+SHARD_POSITIONS = 1_000
 
 
 def _split(columns: list[str]):
+    place = ["id", "lsn", "sort_by", "_micros"]
+
     def split(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        lsns, sorts, micros, revision = state.get if state.exists else ([], [], [], 0)
-        held = sorted(zip(lsns, sorts, strict=True))
-        time_of = dict(zip(zip(lsns, sorts, strict=True), micros, strict=True))
+        *values, revision = state.get if state.exists else (*[[] for _ in place], 0)
+        held = [np.array(v, dtype=object) for v in values]
         for frame in frames:
             revision += 1
-            places = list(zip(frame["lsn"].tolist(), frame["sort_by"].tolist(), strict=True))
             times = [None if pd.isna(t) else int(t) for t in frame["_micros"]]
-            fresh: dict = {}
-            for n, (place, time) in enumerate(zip(places, times, strict=True)):
-                if place not in time_of:
-                    time_of[place], fresh[place] = time, n
-                    insort(held, place)
+            came = frame.assign(_micros=pd.Series(times, dtype=object, index=frame.index))
+            ids, lsns, sorts, micros = (np.r_[h, came[c].to_numpy(object)] for h, c in zip(held, place, strict=True))
+            of_id = pd.factorize(ids, use_na_sentinel=False)[0]
+            order = np.lexsort((sorts.astype(np.int64), lsns.astype(np.int64), of_id))  # stable: the held before those that come again
+            n, at, by = of_id[order], lsns[order], sorts[order]
+            first = np.r_[True, (n[1:] != n[:-1]) | (at[1:] != at[:-1]) | (by[1:] != by[:-1])]
+            order, n = order[first], n[first]
+            fresh = order >= len(held[0])
+            followed = np.r_[n[1:] == n[:-1], False]
             # ends of the new images, and of those that now have another follower
-            before = {held[at - 1] for p in fresh if (at := bisect_left(held, p))} - set(fresh)
-            changed = [*fresh, *before]
-            if not changed:
-                continue
-            follower = [held[at] if (at := bisect_left(held, p) + 1) < len(held) else None for p in changed]
-            rows = frame.iloc[list(fresh.values())][columns].reindex(columns=columns).to_dict("list")
-            blank = [None] * len(before)
-            made = {c: pd.Series([*rows[c], *blank], dtype=object) for c in columns}
-            made |= {
-                "id": [key[0]] * len(changed),
-                "bucket": [key[1]] * len(changed),
-                "lsn": [p[0] for p in changed],
-                "sort_by": [p[1] for p in changed],
-                "is_image": [True] * len(fresh) + [False] * len(before),
-                "has_next": [f is not None for f in follower],
-                "next_micros": pd.array([time_of[f] if f is not None else None for f in follower], dtype="Int64"),
-                "revision": revision,
-            }
-            yield pd.DataFrame(made)
-        state.update(([p[0] for p in held], [p[1] for p in held], [time_of[p] for p in held], revision))
+            changed = np.flatnonzero(fresh | (followed & np.r_[fresh[1:], False]))
+            times = micros[order]
+            if len(changed):
+                new, follows, rows = fresh[changed], followed[changed], order[changed]
+                images = came[columns].astype(object).iloc[np.where(new, rows - len(held[0]), 0)].reset_index(drop=True)
+                made = images.where(pd.Series(new), None)  # a correction has the place and the end only
+                ends = np.where(follows, np.r_[times[1:], None][changed], None)
+                yield made.assign(
+                    id=ids[rows], bucket=key[0], lsn=lsns[rows], sort_by=sorts[rows], is_image=new, has_next=follows,
+                    next_micros=ends, revision=revision,
+                )
+            held = [ids[order], lsns[order], sorts[order], times]
+        state.update((*[h.tolist() for h in held], revision))
 
     return split
 
@@ -69,17 +67,22 @@ def interval_log(changes: DataFrame, lsn_per_bucket: int = LSN_PER_BUCKET) -> Da
     values = [c for c in changes.columns if c not in ("id", "lsn", "sort_by", "change_ts")]
     kinds = dict(changes.dtypes)
     placed = images(changes).select(
-        "id", F.floor(F.col("lsn") / lsn_per_bucket).alias("bucket"), "lsn", F.col("sort_by").cast("bigint").alias("sort_by"),
+        F.col("id").cast("string"), F.floor(F.col("lsn") / lsn_per_bucket).alias("bucket"), "lsn", F.col("sort_by").cast("bigint").alias("sort_by"),
         F.unix_micros(F.col("change_ts").cast("timestamp")).alias("_micros"), *values,
     )
     columns = ["_micros", *values]
+    shards = -(-lsn_per_bucket // SHARD_POSITIONS)
+    state = "ids array<string>, lsn array<long>, sort_by array<long>, micros array<long>, revision long"
     out = ", ".join(
-        [f"id {kinds['id']}", "bucket long", "lsn long", "sort_by long", "is_image boolean", "has_next boolean",
+        ["id string", "bucket long", "lsn long", "sort_by long", "is_image boolean", "has_next boolean",
          "next_micros long", "revision long", "_micros long", *[f"`{c}` {kinds[c]}" for c in values]]
     )
-    return placed.groupBy("id", "bucket").applyInPandasWithState(
-        _split(columns), out, STATE, "append", GroupStateTimeout.NoTimeout
+    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).alias("_shard")
+    made = placed.select("*", shard).groupBy("bucket", "_shard").applyInPandasWithState(
+        _split(columns), out, state, "append", GroupStateTimeout.NoTimeout
     )
+    # ids are text on the way: beside a NULL, pandas would turn whole numbers to floats
+    return made.withColumn("id", F.col("id").cast(kinds["id"]))
 
 
 def intervals(log: DataFrame) -> DataFrame:

@@ -56,11 +56,11 @@ def refreshed_positions(inventory: DataFrame, log: DataFrame) -> DataFrame:
     return spine.withColumn("as_of", day)
 
 
-def keep_mirror(sales: DataFrame, inventory: DataFrame, name: str, every: str | None = None) -> DataFrame:
-    """Follow a stream of sales: after each micro-batch the open shortfalls of the newest day are
-    written anew. Returns the last mirror of each day (as_of)."""
-    spark = sales.sparkSession
-    daily = daily_sales(sales)
+def keep_mirror(sales: DataFrame | list[DataFrame], inventory: DataFrame, name: str, every: str | None = None) -> DataFrame:
+    """Follow a stream of sales (or its turns): after each micro-batch the open shortfalls of the newest
+    day are written anew. Returns the last mirror of each day (as_of)."""
+    daily = [daily_sales(s) for s in runner.turns_of(sales)]
+    spark = daily[0].sparkSession
 
     def work(batch: DataFrame, batch_id: int, folder: str) -> None:
         root = folder.rsplit("/", 1)[0]
@@ -74,7 +74,7 @@ def keep_mirror(sales: DataFrame, inventory: DataFrame, name: str, every: str |
         mirror = refreshed_positions(inventory, seen).where(position.is_open())
         mirror.write.mode("overwrite").parquet(f"{root}/mirror/batch_id={batch_id}")
 
-    logged = daily.schema.add("batch_id", "long")
+    logged = daily[0].schema.add("batch_id", "long")
     path = runner.each_batch(daily, name, work, "update", every)
     mirrors = spark.read.option("basePath", f"{path}/mirror").parquet(f"{path}/mirror")
     newest = mirrors.groupBy("as_of").agg(F.max("batch_id").alias("batch_id"))
@@ -84,16 +84,20 @@ def keep_mirror(sales: DataFrame, inventory: DataFrame, name: str, every: str |
 # ---- the scored view: snapshots and sales both as streams
 
 
-def scored_snapshots(inventory: DataFrame, sales: DataFrame, lateness: str = DAY) -> DataFrame:
+def scored_snapshots(inventory: DataFrame, sales: DataFrame, lateness: str = DAY, since: Column | None = None) -> DataFrame:
     """One row per whole snapshot: how many positions are open, their exposure, and the worst.
 
     Both sides are streams. Sales become sums of the seven days up to each day; a snapshot's rows
     meet the sums of their day, or none. A snapshot is whole once both watermarks have passed the
     end of its day; then its row comes out, once. ``inventory`` has the columns of silver inventory
-    and, from before its joins, `closes` with its watermark (see closing())."""
+    and, from before its joins, `closes` with its watermark (see closing()). ``since`` names the day of
+    the first snapshot, where it is known: windows that end before it meet no snapshot, so the
+    sales that lie in no other need not pass through the state."""
     days = f"{position.WINDOW_DAYS} days"
+    meets = F.lit(True) if since is None else F.col("sale_date") > F.date_sub(since, position.WINDOW_DAYS)
     sums = (
-        sales.withColumn("day", _start_of("sale_date"))
+        sales.where(meets)
+        .withColumn("day", _start_of("sale_date"))
         .withWatermark("day", lateness)
         .groupBy(F.window("day", days, DAY), *KEY)
         .agg(F.sum("units_sold").alias("recent_units_7d"), F.sum("net_sales_usd").alias("recent_net_sales_7d"))

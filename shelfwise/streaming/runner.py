@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
 from shelfwise.sources.scratch import scratch_dir
@@ -27,45 +28,47 @@ def trigger_of(every: str | None) -> dict:
     return {"processingTime": every} if every else {"availableNow": True}
 
 
-def append_to_table(stream: DataFrame, name: str, every: str | None = None) -> DataFrame:
-    """Append the finished rows of a stream to a parquet table (exactly once)."""
-    spark = stream.sparkSession
+def turns_of(stream: DataFrame | list[DataFrame]) -> list[DataFrame]:
+    """One stream, or one for each turn of what arrives."""
+    return stream if isinstance(stream, list) else [stream]
+
+
+def run_in_turn(streams: list[DataFrame], name: str, every: str | None, sink: Callable[[DataFrame], DataStreamWriter]) -> None:
+    """Run a query to its end; with several streams, go on with the next from the same checkpoint."""
+    checkpoint = scratch_dir(streams[0].sparkSession, f"{name}-checkpoint")
+    for stream in streams:
+        sink(stream).option("checkpointLocation", checkpoint).trigger(**trigger_of(every)).start().awaitTermination()
+
+
+def append_to_table(stream: DataFrame | list[DataFrame], name: str, every: str | None = None) -> DataFrame:
+    """Append the finished rows of a stream to a parquet table (exactly once). A list holds the same
+    query over more and more folders; its parts run in turn."""
+    streams = turns_of(stream)
+    spark = streams[0].sparkSession
     path = scratch_dir(spark, name)
-    running = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", path)
-        .option("checkpointLocation", scratch_dir(spark, f"{name}-checkpoint"))
-        .trigger(**trigger_of(every))
-        .start()
+    run_in_turn(
+        streams, name, every, lambda s: s.writeStream.format("parquet").outputMode("append").option("path", path)
     )
-    running.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    return spark.read.schema(streams[0].schema).parquet(path)
 
 
 def each_batch(
-    stream: DataFrame, name: str, work: Callable[[DataFrame, int, str], None], mode: str, every: str | None = None
+    stream: DataFrame | list[DataFrame], name: str, work: Callable[[DataFrame, int, str], None], mode: str,
+    every: str | None = None,
 ) -> str:
     """Call ``work(batch, batch_id, folder)`` per micro-batch; returns the folder. The work writes
     below ``batch_id=N`` with overwrite, so a repeated batch replaces its own output."""
-    spark = stream.sparkSession
-    path = scratch_dir(spark, name)
+    streams = turns_of(stream)
+    path = scratch_dir(streams[0].sparkSession, name)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         work(batch, batch_id, f"{path}/batch_id={batch_id}")
 
-    running = (
-        stream.writeStream.foreachBatch(handle)
-        .outputMode(mode)
-        .option("checkpointLocation", scratch_dir(spark, f"{name}-checkpoint"))
-        .trigger(**trigger_of(every))
-        .start()
-    )
-    running.awaitTermination()
+    run_in_turn(streams, name, every, lambda s: s.writeStream.foreachBatch(handle).outputMode(mode))
     return path
 
 
-def upsert_log(stream: DataFrame, name: str, every: str | None = None) -> DataFrame:
+def upsert_log(stream: DataFrame | list[DataFrame], name: str, every: str | None = None) -> DataFrame:
     """Write the rows each micro-batch changed, marked with its batch_id. The newest batch of a
     key holds its value."""
 
@@ -73,5 +76,6 @@ def upsert_log(stream: DataFrame, name: str, every: str | None = None) -> DataFr
         batch.write.mode("overwrite").parquet(folder)
 
     path = each_batch(stream, name, work, "update", every)
-    schema = StructType(stream.schema.fields).add("batch_id", "long")
-    return stream.sparkSession.read.schema(schema).parquet(path)
+    first = turns_of(stream)[0]
+    schema = StructType(first.schema.fields).add("batch_id", "long")
+    return first.sparkSession.read.schema(schema).parquet(path)

@@ -52,3 +52,14 @@ def test_only_touched_intervals_are_written(spark):
     assert log.count() == 42  # the late image, and one correction
     cut = {r.lsn: r.valid_to for r in intervals.intervals(log).filter("lsn = 20 AND sort_by = 0").collect()}
     assert cut == {20: dt.datetime(2024, 1, 1, 0, 20, 30)}
+
+
+def test_ids_of_a_bucket_share_a_state(spark):
+    """A state for each id would cost a call to Python for nearly every change."""
+    rows = [(lsn % 200, lsn, 0, dt.datetime(2024, 1, 1, 0, 0, lsn % 60), "update_postimage", "a") for lsn in range(400)]
+    running = (
+        intervals.interval_log(feed(spark, [rows]), 1000).writeStream.format("noop")
+        .option("checkpointLocation", scratch_dir(spark, "log-checkpoint")).trigger(availableNow=True).start()
+    )
+    running.awaitTermination()
+    assert running.recentProgress[0]["stateOperators"][0]["numRowsTotal"] == 1

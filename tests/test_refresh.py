@@ -104,3 +104,28 @@ def test_one_event_per_whole_snapshot(spark, stock):
         rows = rows.orderBy(F.desc("lost_sales_exposure_usd"), "store_id", "product_id").collect()
         assert r.open_shortfall_count == len(rows)
         assert (r.store_id, r.product_id) == ((rows[0].store_id, rows[0].product_id) if rows else (None, None))
+
+
+def test_old_sales_stay_out_of_the_state(spark, stock):
+    """Sales that no snapshot's window holds pass through no state; the events are the same."""
+    old = [(s, p, day(-400 - n), 1, 10) for s in range(3) for p in range(4) for n in range(30)]
+    last_sale, last_stock = (-1, -1, day(20), 0, 0), (-1, -1, day(20), 0, None, None)
+    rows = [tuple(r) for r in stock.where(F.col("snapshot_date") <= F.lit(day(2))).collect()]
+
+    def events(since):
+        sales = stream(spark, SALES, as_decimal([old + BATCHES[0] + BATCHES[1] + BATCHES[2], [last_sale]]))
+        inventory = refresh.closing(stream(spark, STOCK, [rows, [last_stock]]))
+        return refresh.scored_snapshots(inventory, sales, since=since)
+
+    def state(since):
+        running = (
+            events(since).writeStream.format("noop").option("checkpointLocation", scratch_dir(spark, "since-checkpoint"))
+            .trigger(availableNow=True).start()
+        )
+        running.awaitTermination()
+        return max(sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in running.recentProgress)
+
+    first = F.lit(day(0))
+    scored = [sorted(map(tuple, runner.append_to_table(events(s), "events").collect())) for s in (None, first)]
+    assert len(scored[0]) == 3 and scored[0] == scored[1]
+    assert state(first) < state(None) / 4
