@@ -69,3 +69,18 @@ def test_state_of_passed_windows_goes(spark):
     rows = [s["numRowsTotal"] for p in running.recentProgress for s in p["stateOperators"] if "dedupe" not in s["operatorName"]]
     assert rows and rows[-1] <= 2
     assert spark.read.parquet(path).filter(F.col("allowed")).count() == 4
+
+
+def test_keys_of_a_window_share_a_state(spark):
+    """A state for each key would cost a call to Python for nearly every call; NULL is a key, too."""
+    rows = [call(k, k % 50, f"user{k}" if k % 9 else None) for k in range(500)]
+    running = (
+        decisions.decisions(feed(spark, [rows]), 1, ["requester"]).writeStream.format("noop")
+        .option("checkpointLocation", scratch_dir(spark, "log-checkpoint")).trigger(availableNow=True).start()
+    )
+    running.awaitTermination()
+    states = [s["numRowsTotal"] for s in running.recentProgress[0]["stateOperators"] if "dedupe" not in s["operatorName"]]
+    assert states and max(states) <= decisions.SHARDS
+    log = runner.append_to_table(decisions.decisions(feed(spark, [rows]), 1, ["requester"]), "nulls")
+    allowed = decisions.decided(log).where(F.col("allowed")).collect()
+    assert len(allowed) == len({r[2] for r in rows}) and [r.event_id for r in allowed if r.requester is None] == [0]
