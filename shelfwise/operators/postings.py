@@ -36,27 +36,39 @@ class Index:
         return self.postings.sparkSession
 
 
+def counted(words: str) -> Column:
+    """Each term of a sorted array of words, with how often it occurs: the lengths of the runs."""
+    word = lambda i: F.get(words, i)
+    new = lambda i: (i == 0) | (word(i) != word(i - 1))
+    starts = F.when(F.size(words) > 0, F.filter(F.sequence(F.lit(0), F.size(words) - 1), new)).otherwise(F.array().cast("array<int>"))
+    ends = F.concat(F.slice(starts, 2, F.size(words)), F.array(F.size(words)))
+    return F.zip_with(starts, ends, lambda i, end: F.struct(word(i).alias("term"), (end - i).cast("int").alias("tf")))
+
+
 def build(docs: DataFrame, key: str, text: Column, path: str, block_docs: int = BLOCK_DOCS, files: int | None = None) -> Index:
     """Index the documents and write it below a path, in so many files or as Spark sizes them. Keys are
-    unique. Documents without a word have no postings but count in the corpus; a NULL text has no words. ``part`` is a posting's share of BM25, to be
+    unique; rows that repeat a key and a length count as one document in the postings. Documents without a word have
+    no postings but count in the corpus; a NULL text has no words. ``part`` is a posting's share of BM25, to be
     multiplied by the term's weight."""
     spark = docs.sparkSession
-    worded = stage(docs.select(F.col(key).alias("doc"), tokens(text).alias("words")), "words")
-    corpus = worded.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words").cast("double")).alias("avg_length"))
+    sorted_words = docs.select(F.col(key).alias("doc"), F.sort_array(tokens(text)).alias("_words"))
+    # a document's terms are counted in its row: the one shuffle to come moves a row per document and term
+    worded = sorted_words.select("doc", F.size("_words").cast("double").alias("length"), counted("_words").alias("terms"))
+    worded = stage(worded, "words")
+    corpus = worded.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
     corpus.write.mode("overwrite").parquet(f"{path}/corpus")
     corpus = spark.read.parquet(f"{path}/corpus")
     count, average = corpus.select("n").scalar(), corpus.select("avg_length").scalar()
-    # counted inside the tasks before the shuffle, which moves a row per document and term
-    each = worded.select("doc", F.size("words").cast("double").alias("length"), F.explode("words").alias("term"))
-    each = each.groupBy("doc", "length", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    each = worded.select("doc", "length", F.inline("terms"))
+    if not worded.groupBy("doc", "length").count().where(F.col("count") > 1).isEmpty():
+        each = each.groupBy("doc", "length", "term").agg(F.sum("tf").cast("int").alias("tf"))
     norm = BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / average)
     dealt = F.pmod(F.xxhash64("doc"), F.greatest(F.lit(1), F.ceil(count / block_docs)))
-    made = each.select(
-        "term", dealt.cast("int").alias("block"), "doc", "tf", "length", (F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + norm)).alias("part")
-    )
+    made = each.select("term", dealt.cast("int").alias("block"), "doc", "tf", "length")
+    part = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + norm)
     order = ["term", "block"]
     spread = [files, *order] if files else order
-    made.repartitionByRange(*spread).sortWithinPartitions(*order, "doc").write.mode("overwrite").parquet(f"{path}/postings")
+    made.repartitionByRange(*spread).withColumn("part", part).sortWithinPartitions(*order, "doc").write.mode("overwrite").parquet(f"{path}/postings")
     postings = spark.read.parquet(f"{path}/postings")
     summed = postings.groupBy(*order).agg(F.count(F.lit(1)).alias("docs"), F.max("part").alias("top"))
     summed.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/blocks")
