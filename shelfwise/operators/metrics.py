@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.sources.tables import dealt
+
 DIMENSIONS = ["climate_zone", "region", "category", "position_status", "product_id", "product_name"]
 ROLLUP_DIMENSIONS = ["climate_zone", "region", "category", "position_status", "product_id"]
 
@@ -48,13 +50,13 @@ def measure(
     return rows.groupBy(*dims).agg(*[MEASURES[m]().alias(m) for m in measures])
 
 
-def rollup_base(df: DataFrame) -> DataFrame:
-    """All measures on the rollup dimensions, in a form that adds up."""
+def rollup_base(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """All measures on the rollup dimensions, in a form that adds up; in so many tasks, or as Spark deals them."""
     sums = [MEASURES[m]().alias(m) for m in MEASURES if m not in AVERAGED]
     parts = []
     for name, col in AVERAGED.items():
         parts += [F.sum(col).alias(f"{name}_sum"), F.count(col).alias(f"{name}_n")]
-    return df.groupBy(*ROLLUP_DIMENSIONS).agg(*sums, *parts)
+    return dealt(df, tasks, *ROLLUP_DIMENSIONS).groupBy(*ROLLUP_DIMENSIONS).agg(*sums, *parts)
 
 
 def from_rollup(base: DataFrame, dims: list[str], measures: list[str]) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.operators.metrics import DIMENSIONS, MEASURES
+from shelfwise.sources.tables import dealt
 
 # Measure: the column it sums, or the status it counts.
 SUMS = {
@@ -36,13 +37,23 @@ def signed(rows: DataFrame, sign: int) -> DataFrame:
     return rows.withColumn("sign", F.lit(sign))
 
 
-def changes_between(old: DataFrame, new: DataFrame) -> DataFrame:
-    """The rows that differ, with their sign. Rows that repeat count as often as they do."""
-    return signed(old.exceptAll(new), -1).unionByName(signed(new.exceptAll(old), 1))
+def columns(dims: list[str]) -> list[str]:
+    """The columns of the positions that a rollup on these dimensions reads."""
+    return list(dict.fromkeys([*dims, *SUMS.values(), "position_status"]))
 
 
-def part(changes: DataFrame, dims: list[str]) -> DataFrame:
-    """A batch of signed rows on the rollup's dimensions, in a form that adds up."""
+def changes_between(old: DataFrame, new: DataFrame, tasks: int | None = None) -> DataFrame:
+    """The rows that differ, with their sign. Rows that repeat count as often as they do. One shuffle:
+    old and new rows cancel out; in so many tasks, or as Spark deals them."""
+    both = signed(old, -1).unionByName(signed(new, 1))
+    net = dealt(both, tasks, *old.columns).groupBy(*old.columns).agg(F.sum("sign").cast("int").alias("net"))
+    times = F.array_repeat(F.signum("net").cast("int"), F.abs("net"))
+    return net.where(F.col("net") != 0).select(*old.columns, F.explode(times).alias("sign"))
+
+
+def part(changes: DataFrame, dims: list[str], tasks: int | None = None) -> DataFrame:
+    """A batch of signed rows on the rollup's dimensions, in a form that adds up. Products make nearly
+    as many groups as there are rows: by them the rows are dealt first, in so many tasks."""
     plus = F.col("sign") > 0
     sums: list[Column] = []
     for name, column in SUMS.items():
@@ -51,7 +62,8 @@ def part(changes: DataFrame, dims: list[str]) -> DataFrame:
         sums.append(F.sum(F.when(value.isNotNull(), F.col("sign"))).cast("bigint").alias(f"{name}_n"))
     for name, status in COUNTS.items():
         sums.append(F.sum(F.when(F.col("position_status") == status, F.col("sign")).otherwise(0)).alias(name))
-    return changes.groupBy(*dims).agg(*sums, F.sum("sign").alias("position_count"))
+    rows = dealt(changes, tasks if "product_id" in dims else None, *dims)
+    return rows.groupBy(*dims).agg(*sums, F.sum("sign").alias("position_count"))
 
 
 @dataclass(frozen=True)
@@ -61,12 +73,13 @@ class Rollup:
     spark: SparkSession
     path: str
     dims: tuple[str, ...]
+    tasks: int | None = None
 
     def start(self, positions: DataFrame) -> Rollup:
         return self.add(signed(positions, 1), 0)
 
     def add(self, changes: DataFrame, batch_id: int) -> Rollup:
-        part(changes, list(self.dims)).write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+        part(changes, list(self.dims), self.tasks).write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
         return self
 
     def parts(self) -> DataFrame:
@@ -82,7 +95,7 @@ class Rollup:
     def compacted(self, path: str) -> Rollup:
         """The same rollup as one part in a new folder."""
         self.rows().write.mode("overwrite").parquet(f"{path}/batch_id=0")
-        return Rollup(self.spark, path, self.dims)
+        return Rollup(self.spark, path, self.dims, self.tasks)
 
     def measure(self, dims: list[str], measures: list[str]) -> DataFrame:
         """As metrics.measure() over the positions."""

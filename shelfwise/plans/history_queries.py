@@ -85,7 +85,7 @@ LEFT JOIN (SELECT m.to_store_id, m.product_id, m.initiated_date, SUM(x.units_sol
   ON v.to_store_id = a.to_store_id AND v.product_id = a.product_id AND v.initiated_date = a.initiated_date""")
 def asof_move_features(r: Retail) -> DataFrame:
     moves = fx.move_log(r.spark, r.sf_dir)
-    return history.move_features(moves, fx.stock_history(r.sales), r.sales)
+    return history.move_features(moves, fx.stock_history(r.sales), r.sales, tasks=fx.sale_tasks(r.spark, r.sf_dir))
 
 
 # ---- data quality
