@@ -42,7 +42,8 @@ def counted(words: str) -> Column:
     new = lambda i: (i == 0) | (word(i) != word(i - 1))
     starts = F.when(F.size(words) > 0, F.filter(F.sequence(F.lit(0), F.size(words) - 1), new)).otherwise(F.array().cast("array<int>"))
     ends = F.concat(F.slice(starts, 2, F.size(words)), F.array(F.size(words)))
-    return F.zip_with(starts, ends, lambda i, end: F.struct(word(i).alias("term"), (end - i).cast("int").alias("tf")))
+    runs = F.zip_with(starts, ends, lambda i, end: F.struct(word(i).alias("term"), (end - i).cast("int").alias("tf")))
+    return F.filter(runs, lambda run: run["term"].isNotNull())  # without a word there is an end, but no run
 
 
 def build(docs: DataFrame, key: str, text: Column, path: str, block_docs: int = BLOCK_DOCS, files: int | None = None) -> Index:
