@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.geo import haversine_km
 from shelfwise.functions.notes import DEFAULT_RISK, risk_label, risk_score, score_of_label
+from shelfwise.sources.tables import dealt
 
 STORE_COLUMNS = ["store_name", "region", "climate_zone", "city", "store_lat", "store_lng"]
 PRODUCT_COLUMNS = ["product_name", "category", "subcategory", "seasonality"]
@@ -37,15 +38,17 @@ def silver_inventory(
     products: DataFrame,
     flags: DataFrame | None = None,
     keep: list[str] | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Inventory with dimensions and markdown risk.
 
     Without ``flags`` the rules score each row in place, with no join: a join on the note text
     would shuffle all inventory onto a handful of phrases. With ``flags`` (from a costly
     classifier) the scores are joined in, and a note without a flag scores as healthy. ``keep``
-    names more columns to carry along.
+    names more columns to carry along. ``tasks`` deals the rows by product in so many tasks: the join
+    with the products, and what is grouped by product after it, need no other shuffle.
     """
-    joined = inventory.join(stores, "store_id").join(products, "product_id")
+    joined = dealt(inventory.join(stores, "store_id"), tasks, "product_id").join(products, "product_id")
     if flags is None:
         scored = joined.withColumn("markdown_risk_score", risk_score(F.col("merch_note_text")))
     else:

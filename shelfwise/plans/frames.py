@@ -75,6 +75,14 @@ class Retail:
             self.silver_inventory, self.silver_sales, as_of=self.newest, sales_as_of=self.newest
         )
 
+    @cached_property
+    def position_by_product(self) -> DataFrame:
+        """The spine in tasks by product, whose size does not grow with the tables. For plans that
+        group it by product."""
+        tasks = fx.sale_tasks(self.spark, self.sf_dir)
+        inventory = silver.silver_inventory(self.inventory, self.stores, self.products, tasks=tasks)
+        return pos.store_sku_position(inventory, self.silver_sales, as_of=self.newest, sales_as_of=self.newest)
+
     @cached_property
     def flagged(self) -> DataFrame:
         """The positions that need attention (all but healthy), written once. The recovery chain

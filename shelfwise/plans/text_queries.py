@@ -28,12 +28,12 @@ USING (product_id)"""
 @query("product_catalog_dedup",
        "product_id:i product_name:s category:s seasonality:s price_usd:2 most_on_hand:i", CATALOG)
 def product_catalog_dedup(r: Retail) -> DataFrame:
-    return search.product_catalog(r.position)
+    return search.product_catalog(r.position_by_product)
 
 
 @query("product_search_text", "product_id:i description:s", CATALOG)
 def product_search_text(r: Retail) -> DataFrame:
-    return search.product_catalog(r.position)
+    return search.product_catalog(r.position_by_product)
 
 
 def _and_match(terms: list[str], limit: str) -> str:
@@ -51,13 +51,13 @@ PRODUCT_QUERY = "cold weather ring"
        "product_id:i product_name:s category:s price_usd:2 on_hand_units:i rank:6",
        _and_match(["cold", "ring", "weather"], "LIMIT 10"))
 def fulltext_search(r: Retail) -> DataFrame:
-    return search.fulltext_search(search.product_catalog(r.position), PRODUCT_QUERY)
+    return search.fulltext_search(search.product_catalog(r.position_by_product), PRODUCT_QUERY)
 
 
 @query("search_onhand_join", "product_id:i product_name:s on_hand_units:i rank:6",
        _and_match(["bolt"], ""))
 def search_onhand_join(r: Retail) -> DataFrame:
-    return search.fulltext_search(search.product_catalog(r.position), "bolt", limit=None)
+    return search.fulltext_search(search.product_catalog(r.position_by_product), "bolt", limit=None)
 
 
 NOTE_QUERY = "license thanedble tiontion onbleea einlich the"
@@ -115,7 +115,7 @@ def bm25_topk(r: Retail) -> DataFrame:
        _and_match(["cold", "ring", "weather"], "LIMIT 10"))
 def fulltext_postings(r: Retail) -> DataFrame:
     """The products of fulltext_search from postings, from the rarest word on."""
-    catalog = stage(search.product_catalog(r.position), "catalog")
+    catalog = stage(search.product_catalog(r.position_by_product), "catalog")
     text = F.concat_ws(" ", "product_name", "description")
     index = postings.build(catalog, "product_id", text, scratch_dir(r.spark, "product-index"))
     found = postings.every_term(index, search.query_terms(PRODUCT_QUERY))

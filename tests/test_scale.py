@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.operators import history, metrics, postings, rollup
+from shelfwise.plans.catalog import QUERIES
 from shelfwise.sources import fixtures, tables
 from shelfwise.sources.scratch import scratch_dir
 from tests.test_rollup import SCHEMA
@@ -28,6 +29,30 @@ def test_tasks_grow_with_the_rows(spark, tmp_path, monkeypatch):
     assert stock.rdd.getNumPartitions() == 40 and stock.count() == 3 * rows.select("l_suppkey", "l_partkey").distinct().count()
 
 
+@pytest.mark.parametrize("name", ["product_catalog_dedup", "fulltext_search", "search_onhand_join"])
+def test_the_catalog_is_grouped_in_tasks_by_rows(spark, tmp_path, monkeypatch, capsys, name):
+    n, day = F.col("id"), F.lit(dt.date(2024, 1, 1)).alias("l_shipdate")
+    made = {
+        "lineitem": spark.range(4000).select(
+            (n % 40).alias("l_suppkey"), (n % 77).alias("l_partkey"), day, F.lit(1.0).alias("l_quantity"),
+            F.lit(9.5).alias("l_extendedprice"), F.lit(0.1).alias("l_discount"), F.lit("R").alias("l_returnflag")),
+        "part": spark.range(77).select(
+            n.alias("p_partkey"), F.concat(F.lit("cold ring bolt weather "), n).alias("p_name"), F.lit("t").alias("p_type"),
+            F.lit("b").alias("p_brand"), (n + 900.0).alias("p_retailprice"), (n % 5).alias("p_size")),
+        "supplier": spark.range(40).select(n.alias("s_suppkey"), F.lit("s").alias("s_name"), F.lit(0).alias("s_nationkey")),
+        "nation": spark.sql("SELECT 0 AS n_nationkey, 'n' AS n_name, 0 AS n_regionkey"),
+        "region": spark.sql("SELECT 0 AS r_regionkey, 'r' AS r_name"),
+    }
+    for table, rows in made.items():
+        rows.write.parquet(f"{tmp_path}/{table}.parquet")
+    plain = QUERIES[name].run(spark, str(tmp_path)).collect()
+    monkeypatch.setattr(tables, "ROWS_PER_TASK", 100)
+    got = QUERIES[name].run(spark, str(tmp_path))
+    shuffles = [x for x in plan_of(got, capsys).splitlines() if "Exchange hashpartitioning(product_id" in x]
+    assert len(shuffles) == 1 and ", 40), REPARTITION_BY_NUM" in shuffles[0]
+    assert sorted(got.collect()) == sorted(plain) and len(plain) == (10 if name == "fulltext_search" else 77)
+
+
 def test_rollup_base_in_tasks(spark, capsys):
     df = spark.createDataFrame([], SCHEMA)
     assert ", 40), REPARTITION_BY_NUM" in plan_of(metrics.rollup_base(df, 40), capsys)
