@@ -200,6 +200,60 @@ def test_lm_trains_every_position_once(spark, monkeypatch):
     assert min(share) > 0.3
 
 
+def test_lm_copies_are_few_and_weighted(spark, monkeypatch):
+    # the copies that are sent grow with the words, not as input splits times vocabulary
+    each = lambda words, weights, tasks: lm_score.copies_for(words, weights, tasks, 6)
+    assert each(10**9, 10**6, 400) == 125 and each(10**9, 10**6, 40) == 40 and each(10**6, 10**6, 40) == 6 and each(10, 10**6, 2) == 2
+    assert [lm_score.groups_for(n) for n in (0, 1, 16, 40, 10**6)] == [1, 1, 4, 6, lm_score.GROUPS]
+    df = spark.createDataFrame([(n, prose(n, n)) for n in range(1, 40)], "doc_id long, text string")
+    tokens = lm_score.tokenized(df.repartition(3), lm_score.vocabulary(df))
+    sizes = tokens.select((F.length("ids") / 4).alias("n"), F.spark_partition_id().alias("task")).groupBy("task").agg(F.sum("n").alias("n"))
+    sizes = [int(r.n) for r in sizes.collect()]
+    tasks, part = [], lm_score.train_round
+
+    def told(tokens, w, nth):
+        tasks.append(tokens.rdd.getNumPartitions())
+        return w
+
+    monkeypatch.setattr(lm_score, "train_round", told)
+    monkeypatch.setattr(lm_score, "copies_for", lambda *a: 1)
+    lm_score.fit(tokens)
+    lm_score.fit(tokens, words=sum(sizes))
+    assert set(tasks[: lm_score.ROUNDS]) == {tokens.rdd.getNumPartitions()} and set(tasks[lm_score.ROUNDS :]) == {1}
+
+    def count(w, seen, around, target):
+        w["hidden_b"][0] = len(target)
+
+    monkeypatch.setattr(lm_score, "step", count)
+    monkeypatch.setattr(lm_score, "rounds_of", lambda ids, lengths: np.zeros(len(ids), np.int64))
+    got = part(tokens, lm_score.start_weights(), 0)["hidden_b"][0]
+    assert abs(got - sum(n * n for n in sizes) / sum(sizes)) < 1e-3
+
+
+def test_lm_steps_on_all_rows_as_on_some():
+    draw = np.random.default_rng(5)
+    used = np.full(lm_score.OTHERS, 3)
+    plain = lm_score.start_weights(used=used)
+    fast = {k: v.copy() for k, v in plain.items()}
+    seen = {k: np.full_like(v, lm_score.FIRST_SQUARES) for k, v in plain.items()}
+    squares = {k: v.copy() for k, v in seen.items()}
+    top = lm_score.TOKENS + 1 + 3 * lm_score.OTHERS  # more tokens than 16 bits hold are sorted as well
+    for n in (60_000, 50):  # nearly every row, and few
+        around, target = draw.integers(0, top, (n, 2 * lm_score.SIDE)), draw.integers(0, lm_score.TOKENS, n)
+        g = lm_score.gradients(plain, around, target)
+        flat, rows = around.ravel(), np.unique(around)
+        order = np.argsort(flat, kind="stable")
+        g["vector"] = rows, np.add.reduceat(g["vector"][order], np.searchsorted(flat[order], rows))
+        for k, v in g.items():
+            at, v = v if isinstance(v, tuple) else (slice(None), v)
+            squares[k][at] += v**2
+            plain[k][at] -= lm_score.RATE * v / np.sqrt(squares[k][at])
+        lm_score.step(fast, seen, around, target)
+        assert all(np.array_equal(plain[k], fast[k]) and np.array_equal(squares[k], seen[k]) for k in plain)
+    values = draw.integers(0, 1 << 20, 10_000)
+    assert np.array_equal(lm_score._sorted(values), np.argsort(values, kind="stable"))
+
+
 def plain_log_probability(w, around, target):
     """One token, level by level, in plain numbers."""
     x = np.concatenate([w["vector"][t] for t in around]).astype(np.float64)
