@@ -254,6 +254,48 @@ def test_lm_steps_on_all_rows_as_on_some():
     assert np.array_equal(lm_score._sorted(values), np.argsort(values, kind="stable"))
 
 
+def test_lm_counts_leave_a_task_together(monkeypatch):
+    frame = pd.DataFrame({"text": [prose(n, 50) for n in range(40)] + [None, ""]})
+    monkeypatch.setattr(lm_score, "CHARS", 300, raising=False)
+    out = list(lm_score._count(iter([frame, frame])))
+    assert len(out) == 1  # before, one for each frame and block of text
+    words = pd.Series([w for t in frame["text"][:40] for w in t.lower().split()])
+    assert sorted(out[0]["n"]) == sorted(2 * words.value_counts()) and out[0]["word"].is_unique
+    monkeypatch.setattr(lm_score, "COUNTED", 500)
+    several = list(lm_score._count(iter([frame, frame])))
+    assert len(several) > 1 and pd.concat(several).groupby("word")["n"].sum().equals(out[0].set_index("word")["n"].sort_index())
+    assert list(lm_score._count(iter([]))) == []
+
+
+def test_lm_sums_of_groups_are_those_of_numpy():
+    draw = np.random.default_rng(8)
+    sizes = np.concatenate([np.arange(1, 40), np.ones(50, int), [300, 2000], draw.integers(1, 12, 200)])
+    for size in (sizes, np.array([1, 1]), np.array([3]), np.array([50]), np.full(4, lm_score.SHORT)):
+        values = draw.standard_normal((size.sum(), lm_score.VECTOR)).astype(np.float32)
+        order, first = draw.permutation(len(values)), np.cumsum(size) - size
+        assert np.array_equal(lm_score._added(values, order, first), np.add.reduceat(values[order], first))
+
+
+def test_lm_scores_in_blocks_and_with_large_logits(monkeypatch):
+    draw = np.random.default_rng(4)
+    w = lm_score.start_weights(used=np.full(lm_score.OTHERS, 3))
+    ids, lengths = draw.integers(0, lm_score.TOKENS + 1 + 3 * lm_score.OTHERS, 700), np.array([0, 1, 2, 400, 0, 297])
+    ids[ids == lm_score.TOKENS] = 7
+    around = lm_score.neighbours(ids, lengths)
+    some = draw.permutation(700)[:100]
+    assert np.array_equal(lm_score.neighbours(ids, lengths, some), around[some])
+    monkeypatch.setattr(lm_score, "AT_ONCE", 64)  # the first block has common words only, the last one words in slots
+    want = [plain_log_probability(w, a, t) for a, t in zip(around, ids, strict=True)]
+    for most in (600, 0.01):  # beyond it, a row's greatest logit is taken off
+        monkeypatch.setitem(lm_score.LARGE, 8, most)
+        assert np.allclose(lm_score.log_probabilities(w, around, ids), want, atol=1e-6)
+    monkeypatch.undo()
+    w["cls"] *= 1e6  # e to such logits is no number of 64 bits
+    assert np.isfinite(lm_score.log_probabilities(w, around, ids)).all()
+    lm_score.step(w, {k: np.full_like(v, lm_score.FIRST_SQUARES) for k, v in w.items()}, around, ids)
+    assert all(np.isfinite(v).all() for v in w.values())
+
+
 def plain_log_probability(w, around, target):
     """One token, level by level, in plain numbers."""
     x = np.concatenate([w["vector"][t] for t in around]).astype(np.float64)
