@@ -287,7 +287,7 @@ def test_lm_scores_in_blocks_and_with_large_logits(monkeypatch):
     monkeypatch.setattr(lm_score, "AT_ONCE", 64)  # the first block has common words only, the last one words in slots
     want = [plain_log_probability(w, a, t) for a, t in zip(around, ids, strict=True)]
     for most in (600, 0.01):  # beyond it, a row's greatest logit is taken off
-        monkeypatch.setitem(lm_score.LARGE, 8, most)
+        monkeypatch.setattr(lm_score, "LARGE", most)
         assert np.allclose(lm_score.log_probabilities(w, around, ids), want, atol=1e-6)
     monkeypatch.undo()
     w["cls"] *= 1e6  # e to such logits is no number of 64 bits
