@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.operators import position
+from shelfwise.sources.tables import dealt
 from shelfwise.streaming import runner
 
 KEY = ["store_id", "product_id"]
@@ -20,9 +21,9 @@ def _start_of(date: str) -> Column:
 
 
 def daily_sales(sales: DataFrame, lateness: str = f"{position.WINDOW_DAYS} days") -> DataFrame:
-    """Units and sales per store, product and day as running state, in update mode. Late sales
-    count as long as their day can still be in a window; older days leave the state, so that a
-    key without sales holds none."""
+    """Units and sales per store, product and day: of a stream as running state, in update mode, of a
+    micro-batch its own sums. Late sales count as long as their day can still be in a window; older
+    days leave the state, so that a key without sales holds none."""
     return (
         sales.withColumn("day", _start_of("sale_date"))
         .withWatermark("day", lateness)
@@ -32,50 +33,55 @@ def daily_sales(sales: DataFrame, lateness: str = f"{position.WINDOW_DAYS} days"
     )
 
 
-def window_sums(log: DataFrame, days: int = position.WINDOW_DAYS) -> DataFrame:
-    """Recent sales per key from the log of daily sums (marked with batch_id): the newest sum of
-    each of the last days before the newest day in it. The files are sorted by day, so that scans skip
-    the row groups out of the window."""
-    since = F.date_sub(log.agg(F.max("sale_date")).scalar(), days)
-    newest = F.max_by(F.struct("units", "net_sales"), "batch_id").alias("s")
-    return (
-        log.where(F.col("sale_date") > since)
-        .groupBy(*KEY, "sale_date")
-        .agg(newest)
-        .groupBy(*KEY)
-        .agg(F.sum("s.units").alias("recent_units_7d"), F.sum("s.net_sales").alias("recent_net_sales_7d"))
+def in_window(rows: DataFrame, days: int = position.WINDOW_DAYS) -> DataFrame:
+    """The rows of the last days up to the newest sale among them."""
+    return rows.where(F.col("sale_date") > F.date_sub(rows.agg(F.max("sale_date")).scalar(), days))
+
+
+def window_sums(log: DataFrame, days: int = position.WINDOW_DAYS, tasks: int | None = None) -> DataFrame:
+    """Recent sales per key from the log of daily sums, each micro-batch with its own: all sums of
+    each of the last days before the newest day in it, added."""
+    return dealt(in_window(log, days), tasks, *KEY).groupBy(*KEY).agg(
+        F.sum("units").alias("recent_units_7d"), F.sum("net_sales").alias("recent_net_sales_7d")
     )
 
 
-def refreshed_positions(inventory: DataFrame, log: DataFrame) -> DataFrame:
-    """The spine of the newest day in the log, with the newest snapshot up to it."""
+def refreshed_positions(inventory: DataFrame, log: DataFrame, tasks: int | None = None) -> DataFrame:
+    """The spine of the newest day in the log, with the newest snapshot up to it. ``tasks``: snapshot
+    and sums meet in so many tasks (dealt both, as Spark takes the number of the side that is not)."""
     day = log.agg(F.max("sale_date")).scalar()
     up_to_day = inventory.where(F.col("snapshot_date") <= day)
-    joined = position.join_recent_sales(position.current_snapshot(up_to_day), window_sums(log))
+    snapshot = dealt(position.current_snapshot(up_to_day), tasks, *KEY)
+    joined = position.join_recent_sales(snapshot, window_sums(log, tasks=tasks))
     spine = position.with_status(position.with_exposures(position.with_metrics(joined)))
     return spine.withColumn("as_of", day)
 
 
-def keep_mirror(sales: DataFrame | list[DataFrame], inventory: DataFrame, name: str, every: str | None = None) -> DataFrame:
+def keep_mirror(
+    sales: DataFrame | list[DataFrame], inventory: DataFrame, name: str, every: str | None = None, tasks: int | None = None
+) -> DataFrame:
     """Follow a stream of sales (or its turns): after each micro-batch the open shortfalls of the newest
-    day are written anew. Returns the last mirror of each day (as_of)."""
-    daily = [daily_sales(s) for s in runner.turns_of(sales)]
-    spark = daily[0].sparkSession
+    day are written anew. Returns the last mirror of each day (as_of).
+
+    The daily sums are kept as a log on disk, not as state in memory: a micro-batch adds the sums of
+    its own rows, without the days that no window from its newest day on holds, so a first batch
+    with years of sales takes no more than a scan. ``tasks``: see refreshed_positions()."""
+    streams = runner.turns_of(sales)
+    spark = streams[0].sparkSession
 
     def work(batch: DataFrame, batch_id: int, folder: str) -> None:
         root = folder.rsplit("/", 1)[0]
-        # sorted without a shuffle: the batch runs its state once
-        batch.sortWithinPartitions("sale_date").write.mode("overwrite").parquet(f"{root}/daily/batch_id={batch_id}")
+        daily_sales(in_window(batch)).write.mode("overwrite").parquet(f"{root}/daily/batch_id={batch_id}")
         log = spark.read.option("basePath", f"{root}/daily").schema(logged).parquet(f"{root}/daily")
         # a batch that is run again must not see what came after it
         seen = log.where(F.col("batch_id") <= batch_id)
-        if seen.where(F.col("batch_id") == batch_id).isEmpty():
-            return  # nothing but the watermark moved
-        mirror = refreshed_positions(inventory, seen).where(position.is_open())
+        if batch_id and in_window(seen).where(F.col("batch_id") == batch_id).isEmpty():
+            return  # all its sales come too late for a window
+        mirror = refreshed_positions(inventory, seen, tasks).where(position.is_open())
         mirror.write.mode("overwrite").parquet(f"{root}/mirror/batch_id={batch_id}")
 
-    logged = daily[0].schema.add("batch_id", "long")
-    path = runner.each_batch(daily, name, work, "update", every)
+    logged = daily_sales(streams[0]).schema.add("batch_id", "long")
+    path = runner.each_batch(streams, name, work, "append", every)
     mirrors = spark.read.option("basePath", f"{path}/mirror").parquet(f"{path}/mirror")
     newest = mirrors.groupBy("as_of").agg(F.max("batch_id").alias("batch_id"))
     return mirrors.join(newest, ["as_of", "batch_id"])

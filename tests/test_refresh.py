@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import glob
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +91,41 @@ def test_days_out_of_the_window_leave_the_state(spark):
     assert rows[0] == 50 and rows[-1] <= 3
 
 
+def test_a_backlog_of_years_is_no_state(spark, stock, monkeypatch):
+    """A first batch with years of sales leaves no state, and the log holds the last window only."""
+    paths = []
+    each_batch = runner.each_batch
+    monkeypatch.setattr(runner, "each_batch", lambda *a, **k: paths.append(each_batch(*a, **k)) or paths[-1])
+    old = [sale(s, p, -7 - n, 1) for s in range(3) for p in range(4) for n in range(30)]
+    feed = [old + BATCHES[0], old, *BATCHES[1:]]  # the second batch comes too late as a whole
+    mirrors = refresh.keep_mirror(stream(spark, SALES, as_decimal(feed)), stock, "mirror-years")
+    arrived = [x for batch in feed for x in batch]
+    for n in (0, 1, 2, 4):
+        seen = mirrors.where(F.col("as_of") == F.lit(day(n)))
+        assert open_rows(seen) == open_rows(spine_of(spark, stock, [x for x in arrived if x[2] <= day(n) and x not in late_for(n)], n))
+    logged = spark.read.parquet(f"{paths[0]}/daily")
+    assert logged.where(F.col("batch_id") == 0).agg(F.min("sale_date")).first()[0] > day(-7)
+    base = paths[0].rsplit("/", 1)[0]
+    found = glob.glob(f"{base}/mirror-years-checkpoint-*")
+    assert len(found) == 1 and not os.path.exists(f"{found[0]}/state")
+
+
+def late_for(n):
+    """Sales that come in a batch after the mirror of a day."""
+    return [x for batch, newest in zip(BATCHES, (0, 1, 2, 4), strict=True) for x in batch if newest > n]
+
+
+def test_the_snapshot_meets_the_sales_in_tasks(spark, stock, capsys):
+    log = spark.createDataFrame(as_decimal([BATCHES[0]])[0], SALES).select(
+        "store_id", "product_id", F.col("units_sold").cast("long").alias("units"), F.col("net_sales_usd").alias("net_sales"), "sale_date"
+    )
+    one, more = (refresh.refreshed_positions(stock, log, tasks) for tasks in (None, 37))
+    capsys.readouterr()
+    more.explain()
+    assert "37), REPARTITION_BY_NUM" in capsys.readouterr().out
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, more.collect()))
+
+
 def test_one_event_per_whole_snapshot(spark, stock):
     end = [(-1, -1, day(20), 0, 0)]
     sales = stream(spark, SALES, as_decimal([BATCHES[0] + BATCHES[1][1:], [BATCHES[1][0]], [BATCHES[2][0], BATCHES[2][1]], end]))
