@@ -105,12 +105,22 @@ def sales_by_day(r: Retail) -> list[DataFrame]:
     return landed_in_turn(r, r.sales, "sales", _turn(r, "sale_date"), 3)
 
 
+# columns of silver inventory that a position's status and exposure are made of
+_STOCK = ["store_id", "product_id", "snapshot_date", "on_hand_units", "price_usd", "markdown_risk_score"]
+
+
+def mirrors_by_day(r: Retail, name: str) -> DataFrame:
+    tasks = fx.sale_tasks(r.spark, r.sf_dir)
+    inventory = silver.silver_inventory(r.inventory, r.stores, r.products, tasks=tasks).select(*_STOCK)
+    return refresh.keep_mirror(sales_by_day(r), inventory, name, tasks=tasks)
+
+
 @query("stream_shortfall_refresh",
        "store_id:i product_id:i on_hand_units:i recent_units_7d:i lost_sales_exposure_usd:2 position_status:s",
        f"SELECT * FROM positions WHERE {OPEN}")
 def stream_shortfall_refresh(r: Retail) -> DataFrame:
     """The mirror after the last day."""
-    mirrors = refresh.keep_mirror(sales_by_day(r), r.silver_inventory, "mirror")
+    mirrors = mirrors_by_day(r, "mirror")
     return mirrors.where(F.col("as_of") == mirrors.agg(F.max("as_of")).scalar())
 
 
@@ -124,7 +134,7 @@ def _mirror(back: int) -> str:
        " UNION ALL ".join(_mirror(back) for back in range(3)))
 def stream_daily_mirror(r: Retail) -> DataFrame:
     """The mirrors after each of the last three days: sales leave the sums as days pass."""
-    return refresh.keep_mirror(sales_by_day(r), r.silver_inventory, "mirrors")
+    return mirrors_by_day(r, "mirrors")
 
 
 def _scored(back: int) -> str:
