@@ -20,11 +20,11 @@ def call_stream(r: Retail) -> DataFrame:
     return fx.call_log_columns(events.withColumn("ts", F.col("ts").cast("timestamp")))
 
 
-def landed_in_turn(r: Retail, df: DataFrame, name: str, turn: Column, turns: int) -> list[DataFrame]:
+def landed_in_turn(r: Retail, df: DataFrame, name: str, turn: Column, turns: int, path: str | None = None) -> list[DataFrame]:
     """Land a frame in one pass, a folder for each turn (from 0; NULL: 0) and in it as many files as
     Spark has tasks. Streams of the first folder, the first two and so on: run one after the other
     from the same checkpoint, each finds the rows of its turn."""
-    path = scratch_dir(r.spark, name)
+    path = path or scratch_dir(r.spark, name)
     nth = F.greatest(F.lit(0), F.least(F.coalesce(turn, F.lit(0)), F.lit(turns - 1))).cast("int")
     df.limit(0).write.parquet(f"{path}/turn=0")  # a folder that is there without rows, too
     df.withColumn("turn", nth).write.mode("append").partitionBy("turn").parquet(path)
@@ -153,16 +153,19 @@ def stream_view_scored(r: Retail) -> DataFrame:
     feed ends with a row of a later day for no store, as the next day's rows would say that the day
     before is over."""
 
-    def feeds(df: DataFrame, name: str, date: str) -> list[DataFrame]:
+    def feeds(df: DataFrame, name: str, date: str, path: str | None = None) -> list[DataFrame]:
         # a key that no store has: a NULL would be filtered out before the watermark sees its date
         marks = {date: F.date_add(r.newest, 9), "store_id": F.lit(-1), "product_id": F.lit(-1)}
         later = [marks.get(c, F.lit(None)).cast(kind) for c, kind in df.dtypes]
         ended = df.unionByName(df.limit(1).select(*[x.alias(c) for x, c in zip(later, df.columns, strict=True)]))
-        return landed_in_turn(r, ended, name, _turn(r, date), 3)
+        return landed_in_turn(r, ended, name, _turn(r, date), 3, path)
 
-    first = r.inventory.agg(F.min("snapshot_date")).first()[0]
+    path = scratch_dir(r.spark, "snapshots")
+    landed = feeds(r.inventory, "snapshots", "snapshot_date", path)
+    # the mark is later than any snapshot
+    first = r.spark.read.schema(r.inventory.schema).parquet(path).agg(F.min("snapshot_date")).first()[0]
     events = []
-    for snapshots, sales in zip(feeds(r.inventory, "snapshots", "snapshot_date"), feeds(r.sales, "sales", "sale_date"), strict=True):
+    for snapshots, sales in zip(landed, feeds(r.sales, "sales", "sale_date"), strict=True):
         inventory = silver.silver_inventory(refresh.closing(snapshots), r.stores, r.products, keep=["closes"])
         events.append(refresh.scored_snapshots(inventory, sales, since=F.lit(first)))
     return runner.append_to_table(events, "view-scored")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from shelfwise.operators import position
 from shelfwise.sources.tables import dealt
@@ -12,6 +17,9 @@ from shelfwise.streaming import runner
 KEY = ["store_id", "product_id"]
 DAY = "1 day"
 
+STOCK = ["on_hand_units", "price_usd", "markdown_risk_score"]  # what a position is made of, beside the sales
+PIECES = 512  # of a snapshot
+
 
 def _start_of(date: str) -> Column:
     return F.col(date).cast("timestamp")
@@ -90,6 +98,52 @@ def keep_mirror(
 # ---- the scored view: snapshots and sales both as streams
 
 
+def _bytes_of(table: pa.Table) -> bytes:
+    """In order of the key, whose numbers then differ little from row to row, and compressed."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table.sort_by([(k, "ascending") for k in reversed(KEY)]).combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def _packed(rows: DataFrame, name: str) -> DataFrame:
+    """The rows of each micro-batch by instant (`closes`) and hash of the key, as one row with all of
+    them packed in a column. A stream's state holds few such rows, of a few bytes for each of theirs."""
+    kinds = StructType([rows.schema["closes"], StructField("piece", IntegerType()), StructField(name, BinaryType())])
+    held = [c for c in rows.columns if c != "closes"]
+
+    def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        when, piece = (pa.array([x.as_py()], x.type) for x in key)
+        return pa.table([when, piece, pa.array([_bytes_of(table.select(held))], pa.binary())], names=kinds.names)
+
+    placed = rows.withColumn("piece", F.pmod(F.xxhash64(*KEY), F.lit(PIECES)).cast("int"))
+    return placed.groupBy("closes", "piece").applyInArrow(pack, kinds)
+
+
+def _met(stock: DataFrame, sums: DataFrame) -> DataFrame:
+    """Streams of stock rows and of finished sums: every stock row with the sums of its key and
+    instant, or NULLs. The rows wait packed. All sums of an instant come in one micro-batch, once the
+    watermark has passed it, so that no stock row can meet two of their pieces."""
+    added = [f for f in sums.schema.fields if f.name not in (*KEY, "closes")]
+    kinds = StructType([*stock.schema.fields, *added])  # `closes` keeps its watermark by the metadata of its field
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for when, left, right in zip(*(batch[c] for c in ("closes", "stock", "sums")), strict=True):
+                rows = pa.ipc.open_stream(left.as_buffer()).read_all()
+                if right.is_valid:
+                    rows = rows.join(pa.ipc.open_stream(right.as_buffer()).read_all(), KEY, join_type="left outer", use_threads=False)
+                else:
+                    for f in added:
+                        rows = rows.append_column(f.name, pa.nulls(len(rows), to_arrow_type(f.dataType)))
+                rows = rows.append_column("closes", pa.repeat(when, len(rows)))
+                yield from rows.select(kinds.names).to_batches(max_chunksize=10_000)
+
+    runner.bounded_batches(stock.sparkSession)
+    pairs = _packed(stock, "stock").join(_packed(sums, "sums"), ["closes", "piece"], "left")
+    return pairs.mapInArrow(meet, kinds)
+
+
 def scored_snapshots(inventory: DataFrame, sales: DataFrame, lateness: str = DAY, since: Column | None = None) -> DataFrame:
     """One row per whole snapshot: how many positions are open, their exposure, and the worst.
 
@@ -109,7 +163,7 @@ def scored_snapshots(inventory: DataFrame, sales: DataFrame, lateness: str = DAY
         .agg(F.sum("units_sold").alias("recent_units_7d"), F.sum("net_sales_usd").alias("recent_net_sales_7d"))
         .select(F.window_time("window").alias("closes"), *KEY, "recent_units_7d", "recent_net_sales_7d")
     )
-    joined = inventory.join(sums, [*KEY, "closes"], "left").withColumns(
+    joined = _met(inventory.select(*KEY, "closes", *STOCK), sums).withColumns(
         {
             "recent_units_7d": F.coalesce("recent_units_7d", F.lit(0).cast("bigint")),
             "recent_net_sales_7d": F.coalesce("recent_net_sales_7d", F.lit(0)),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql.types import StructType
 
 from shelfwise.sources.scratch import scratch_dir
 
+BATCH_BYTES = 4 << 20  # of an Arrow batch between Spark and Python
+
 
 def stream_files(
     spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None, only: str | None = None
@@ -23,6 +26,14 @@ def stream_files(
     return reader.parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows can hold megabytes: an Arrow batch takes about BATCH_BYTES of them. A smaller bound that the session has stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)([kmgt]?)b?", spark.conf.get(key).lower()).groups()
+    if not 0 < int(number) << (10 * " kmgt".index(unit or " ")) <= BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def trigger_of(every: str | None) -> dict:
     """Repeat at an interval, or without one work off the backlog and stop."""
     return {"processingTime": every} if every else {"availableNow": True}

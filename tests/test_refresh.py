@@ -166,3 +166,26 @@ def test_old_sales_stay_out_of_the_state(spark, stock):
     scored = [sorted(map(tuple, runner.append_to_table(events(s), "events").collect())) for s in (None, first)]
     assert len(scored[0]) == 3 and scored[0] == scored[1]
     assert state(first) < state(None) / 4
+
+
+def test_a_snapshot_waits_packed(spark):
+    """Its rows wait as pieces in the join's state, whose number does not grow with them; each still meets its own sums."""
+    spread = "id div 100 AS store_id", "id % 100 AS product_id"
+    rows = spark.range(4000).selectExpr(*spread, f"DATE'{day(0)}' AS snapshot_date", "0 AS on_hand_units", "CAST(2 AS DECIMAL(12,2)) AS price_usd", "CAST(0.6 AS DECIMAL(2,1)) AS markdown_risk_score")
+    last = [(-1, -1, day(20), 0, None, None)]
+    path = scratch_dir(spark, "snapshots")
+    rows.unionByName(rows.where("product_id = 7")).write.parquet(f"{path}/batch-00")  # the rows of a product come twice
+    spark.createDataFrame(last, STOCK).write.parquet(f"{path}/batch-01")
+    inventory = refresh.closing(runner.stream_files(spark, f"{path}/batch-*", rows.schema))
+    sales = stream(spark, SALES, as_decimal([[sale(s, p, 0, 7) for s in range(40) for p in (7, 8)], [sale(-1, -1, 20, 0)]]))
+    out = scratch_dir(spark, "events")
+    running = (
+        refresh.scored_snapshots(inventory, sales).writeStream.format("parquet").option("path", out)
+        .option("checkpointLocation", scratch_dir(spark, "packed-checkpoint")).trigger(availableNow=True).start()
+    )
+    running.awaitTermination()
+    held = [s["numRowsTotal"] for p in running.recentProgress for s in p["stateOperators"] if s["operatorName"] == "symmetricHashJoin"]
+    assert 0 < max(held) <= 3 * refresh.PIECES
+    event = spark.read.parquet(out).collect()
+    assert [(r.scored_date, r.store_id, r.product_id, r.open_shortfall_count) for r in event] == [(day(0), 0, 7, 120)]
+    assert event[0].open_exposure_usd == 120 * 60
