@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 
 import numpy as np
 import pytest
 
-from shelfwise.llm import langid, toxicity
+from shelfwise.llm import langid, toxicity, words
 
 
 def sigmoid(x):
@@ -116,3 +117,15 @@ def test_language_is_that_of_plain_naive_bayes(spark):
         assert abs(r.score - 1 / sum(math.exp(v - logs[best]) for v in logs.values())) < 1e-6
     got = {r.doc_id: r.lang_pred for r in langid.identify(frame).collect()}
     assert got[502] == got[503] == got[504] == "und"
+
+
+def test_runs_of_letters_and_digits():
+    texts = ["", "Ab 1c", "x", " - ", "", "a" * 70 + "-b" * 3, "é漢 \ud800ß", "end "]
+    found = words.runs_of(texts)
+    plain = [["".join(g) for inside, g in itertools.groupby(t.lower(), str.isalnum) if inside] for t in texts]
+    joined = "".join(t.lower() + " " for t in texts)
+    assert [joined[a : a + n] for a, n in zip(found.first.tolist(), found.length.tolist(), strict=True)] == sum(plain, [])
+    assert found.per_text.tolist() == list(map(len, plain))
+    each = {word: words.runs_of([word]).hash[0] for own in plain for word in own}
+    assert [each[word] for own in plain for word in own] == found.hash.tolist() and len(set(each.values())) == len(each)
+    assert words.runs_of([]).per_text.tolist() == [] and words.runs_of([" ", ""]).per_text.tolist() == [0, 0]
